@@ -5,21 +5,40 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import secret_scan
+from . import mixing, quality_rules, secret_scan, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op3_warc_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.deduplicated(table(spark, sf_dir, "pages"))
+
+
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", F.col("_copy").alias("copy"))
+
+
 QUERIES: dict[str, Query] = {
+    "op1_quality_rules": op1_quality_rules,
     "op2_secret_scan": op2_secret_scan,
+    "op3_warc_dedup": op3_warc_dedup,
+    "op4_source_mixing": op4_source_mixing,
 }
 
 ORACLES: dict[str, str] = {
+    "op1_quality_rules": quality_rules.oracle(),
     "op2_secret_scan": secret_scan.oracle(),
+    "op3_warc_dedup": warc.oracle(),
+    "op4_source_mixing": mixing.oracle(),
 }
