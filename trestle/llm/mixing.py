@@ -29,28 +29,38 @@ def token_estimate(text_col: str) -> Column:
     return F.coalesce(F.expr(f"(octet_length(`{text_col}`) + 3) div 4"), F.lit(0)).cast("long")
 
 
+def _bisect(met, rising: bool) -> float:
+    """Where ``met`` turns in [0, 1], to six places, on the side on which it holds; it holds from there up if ``rising``."""
+    if met(0.0 if rising else 1.0):
+        return 0.0 if rising else 1.0
+    low, high = 0.0, 1.0
+    for _ in range(40):
+        middle = (low + high) / 2
+        low, high = (low, middle) if met(middle) == rising else (middle, high)
+    return math.ceil(high * 1e6) / 1e6 if rising else math.floor(low * 1e6) / 1e6
+
+
 def solve_exponent(tokens: list[int], max_repeats: float | None = None, target_entropy: float | None = None) -> float:
-    """Largest exponent in [0, 1], to six places, that meets the limit and the entropy (a share of the largest possible)."""
+    """The exponent in [0, 1] for a mix of sources with so many tokens.
+
+    With ``max_repeats`` alone it is the smallest, the flattest mix, that stays in
+    the limit; with ``target_entropy`` (a share of the largest possible) the largest
+    that reaches it, but never below what the limit asks. With neither it is 1.
+    """
     sizes = [t for t in tokens if t > 0]
-    if len(sizes) < 2:
+    if len(sizes) < 2 or max_repeats is None and target_entropy is None:
         return 1.0
+    ratio = max(sizes) / min(sizes)
 
-    def met(a: float) -> bool:
-        if max_repeats is not None and (max(sizes) / min(sizes)) ** (1 - a) > max_repeats:
-            return False
-        if target_entropy is None:
-            return True
+    def entropy(a: float) -> float:
         weights = [(t / max(sizes)) ** a for t in sizes]
         total = sum(weights)
-        return -sum(w / total * math.log(w / total) for w in weights) >= target_entropy * math.log(len(sizes))
+        return -sum(w / total * math.log(w / total) for w in weights)
 
-    if met(1.0):
-        return 1.0
-    low, high = 0.0, 1.0
-    for _ in range(40):
-        middle = (low + high) / 2
-        low, high = (middle, high) if met(middle) else (low, middle)
-    return math.floor(low * 1e6) / 1e6
+    least = _bisect(lambda a: ratio ** (1 - a) <= max_repeats, True) if max_repeats is not None else 0.0
+    if target_entropy is None:
+        return least
+    return max(least, _bisect(lambda a: entropy(a) >= target_entropy * math.log(len(sizes)), False))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_repeats: float | None = MAX_REPEATS, target_entropy: float | None = None, budget: int | None = None, seed: str = SEED) -> DataFrame:
@@ -116,10 +126,10 @@ r AS (SELECT max(t) AS most, max(t) / min(t) AS ratio FROM s WHERE t > 0),
 b AS (
   SELECT 0 AS i, CAST(0 AS DOUBLE) AS low, CAST(1 AS DOUBLE) AS high
   UNION ALL
-  SELECT i + 1, CASE WHEN pow(ratio, 1 - (low + high) / 2) <= {max_repeats} THEN (low + high) / 2 ELSE low END,
-         CASE WHEN pow(ratio, 1 - (low + high) / 2) <= {max_repeats} THEN high ELSE (low + high) / 2 END
+  SELECT i + 1, CASE WHEN pow(ratio, 1 - (low + high) / 2) <= {max_repeats} THEN low ELSE (low + high) / 2 END,
+         CASE WHEN pow(ratio, 1 - (low + high) / 2) <= {max_repeats} THEN (low + high) / 2 ELSE high END
   FROM b, r WHERE i < 40),
-a AS (SELECT CASE WHEN ratio <= {max_repeats} THEN 1.0::DOUBLE ELSE floor(low * 1e6) / 1e6 END AS a FROM b, r WHERE i = 40),
+a AS (SELECT CASE WHEN ratio <= {max_repeats} THEN 0.0::DOUBLE ELSE ceil(high * 1e6) / 1e6 END AS a FROM b, r WHERE i = 40),
 p AS (
   SELECT k, t, CAST(floor(CASE WHEN t > 0 THEN pow(t / most, a - 1) * t ELSE 0 END) AS BIGINT) AS spend,
          CASE WHEN t > 0 THEN CAST(floor(CASE WHEN t > 0 THEN pow(t / most, a - 1) * t ELSE 0 END) AS BIGINT) // CAST(t AS BIGINT) ELSE 1 END AS n
