@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality_rules, secret_scan, warc
+from . import minhash, mixing, quality_rules, secret_scan, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,11 +29,16 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", F.col("_copy").alias("copy"))
 
 
+def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.copies(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_secret_scan": op2_secret_scan,
     "op3_warc_dedup": op3_warc_dedup,
     "op4_source_mixing": op4_source_mixing,
+    "op6_minhash_dedup": op6_minhash_dedup,
 }
 
 ORACLES: dict[str, str] = {
