@@ -8,6 +8,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +46,22 @@ def worker_cache() -> dict:
     return sys.__dict__.setdefault("_trestle_cache", {})
 
 
+def ship(spark: SparkSession, value):
+    """Broadcast ``value`` and return a function that gives it on a worker, which needs no copy of this package."""
+    data = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    key = uuid.uuid4().hex
+
+    def get():
+        kept = worker_cache().setdefault("shipped", {})
+        if key not in kept:
+            while len(kept) >= 4:
+                kept.pop(next(iter(kept)))
+            kept[key] = cloudpickle.loads(data.value)
+        return kept[key]
+
+    return get
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column without a copy, with start and end of every row.
 

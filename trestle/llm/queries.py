@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, mixing, quality_rules, secret_scan, warc
+from . import minhash, mixing, quality_model, quality_rules, secret_scan, toxicity, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,12 +33,22 @@ def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.copies(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.score(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_secret_scan": op2_secret_scan,
     "op3_warc_dedup": op3_warc_dedup,
     "op4_source_mixing": op4_source_mixing,
     "op6_minhash_dedup": op6_minhash_dedup,
+    "op7_toxicity_chain": op7_toxicity_chain,
+    "op8_quality_model": op8_quality_model,
 }
 
 ORACLES: dict[str, str] = {

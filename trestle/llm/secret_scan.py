@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .automaton import SpanFinder, compile_patterns, scan
-from .common import text_bytes
+from .common import ship, text_bytes
 
 Rule = tuple[str, str, str]
 
@@ -51,8 +51,8 @@ def _compiled(rules: tuple[Rule, ...]):
 
 
 def _engine(spark: SparkSession, rules: list[Rule]):
-    """The compiled rules as a broadcast variable; its size depends on the rules alone."""
-    return spark.sparkContext.broadcast(_compiled(tuple(rules)))
+    """The compiled rules, shipped; their size depends on the rules alone."""
+    return ship(spark, _compiled(tuple(rules)))
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: list[Rule] = RULES) -> DataFrame:
@@ -67,7 +67,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     engine = _engine(docs.sparkSession, rules)
 
     def run(batches):
-        automaton, finders = engine.value
+        automaton, finders = engine()
         for batch in batches:
             ids, text = batch.column(0), batch.column(1)
             buf, starts, ends = text_bytes(text)
@@ -108,7 +108,7 @@ def redacted(spark: SparkSession, text: Column, rules: list[Rule] = RULES) -> Co
 
     @F.arrow_udf(T.StringType())
     def run(column: pa.Array) -> pa.Array:
-        automaton, finders = engine.value
+        automaton, finders = engine()
         buf, starts, ends = text_bytes(column)
         masks = scan(automaton, buf, starts, ends)
         hit = masks.nonzero()[0]
