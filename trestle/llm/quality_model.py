@@ -2,8 +2,7 @@
 
 Overlapping heuristic labellers vote good, bad or nothing on every document. The
 votes of the whole corpus are counted by pattern, and expectation-maximisation over
-those counts estimates how each labeller votes on good and on bad documents. The
-posterior labels of a bounded sample then train a linear scorer over hashed byte
+those counts estimates how often each labeller's votes are right and wrong. The posterior labels of a bounded sample then train a linear scorer over hashed byte
 trigrams, which scores every document.
 
 Defined results: a null or empty text has score 0 and isn't kept; texts of any
@@ -26,6 +25,7 @@ from .textfeat import pieces, words
 #: texts that the scorer is fitted on, at most
 TRAINING_ROWS = 3000
 THRESHOLD, BITS = 0.5, 12
+FALSE_ALARMS = 0.01
 _CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZÄÖÜÀÂÇÈÉÊÎÔÛÑÁÍÓÚ"
 _SPACE = "1 + length({t}) - length(translate({t}, ' \n\t', ''))"
 
@@ -34,15 +34,17 @@ def _share(characters: str) -> str:
     return f"(length({{t}}) - length(translate({{t}}, '{characters}', ''))) / length({{t}})"
 
 
-#: name, measure of a text, and the conditions on the measure ``m`` for a bad and for a good vote
+_JUNK = "#$%&*<>=~^@"
+_REPEATS = "transform(array(split({t}, ' ')), w -> size(filter(w, (x, i) -> WHEN)) / size(w))[0]"
+#: name, measure of a text, and the conditions on the measure ``m`` for a bad and for a good vote ("" for never)
 LABELLERS: list[tuple[str, str, str, str]] = [
-    ("symbols", _share("#$%&*<>=~^@"), "m > 0.03", "m < 0.005"),
-    ("bars", _share("|"), "m > 0.02", "m < 0.005"),
-    ("exclamations", _share("!"), "m > 0.03", "m < 0.01"),
-    ("capitals", _share(_CAPITALS), "m > 0.25", "m < 0.1"),
-    ("stops", f"CASE WHEN length({{t}}) < 300 THEN 0.003 ELSE {_share('.?')} END", "m < 0.001", "m > 0.006 AND m < 0.06"),
-    ("stutter", "transform(array(split({t}, ' ')), w -> size(filter(w, (x, i) -> i > 0 AND x = get(w, i - 1))) / size(w))[0]", "m > 0.15", "m < 0.03"),
-    ("word_length", f"length({{t}}) / ({_SPACE})", "m > 25", "m > 4 AND m < 12"),
+    ("symbols", _share(_JUNK), "m > 0.03", ""),
+    ("bars", _share("|"), "m > 0.02", ""),
+    ("exclamations", _share("!"), "m > 0.03", ""),
+    ("capitals", _share(_CAPITALS), "m > 0.25", ""),
+    ("plain", _share(_JUNK + "|!"), "m > 0.02", "m < 0.005"),
+    ("stutter", _REPEATS.replace("WHEN", "i > 0 AND x = get(w, i - 1)"), "m > 0.15", ""),
+    ("runs", _REPEATS.replace("WHEN", "i > 1 AND x = get(w, i - 1) AND x = get(w, i - 2)"), "m > 0.1", ""),
 ]
 
 
@@ -66,35 +68,40 @@ def _on(condition: str, m: Column) -> Column:
         if word in condition:
             left, _, right = condition.partition(word)
             return join(_on(left, m), _on(right, m))
+    if not condition:
+        return F.lit(False)
     _, sign, value = condition.split()
     return {">": m > float(value), "<": m < float(value), "=": m == float(value)}[sign]
 
 
 def estimate(counts: dict[str, int], rounds: int = 100) -> tuple[np.ndarray, dict[str, float]]:
-    """Vote probabilities ``[labeller, class, vote]`` (class 1 is good; votes are ``-``, ``0``, ``+``) and each pattern's posterior of good.
+    """Rates ``[labeller, vote, class]`` at which bad votes, good votes and none are cast on bad and good texts, and each pattern's posterior of good.
 
-    Starts from the belief that any bad vote is right and stops when no posterior
-    moves.
+    A bad vote on a good text is held to ``FALSE_ALARMS`` at
+    most, without which labellers of rare, separate faults outvote each other. The
+    rounds start from the belief that any bad vote is right and stop when no
+    posterior moves.
     """
     patterns = sorted(counts)
     if not patterns:
-        return np.zeros((0, 2, 3)), {}
-    v = np.array([["-0+".index(c) for c in p] for p in patterns])
+        return np.zeros((0, 3, 2)), {}
+    v = np.array([list(p) for p in patterns])
     n = np.array([counts[p] for p in patterns], np.float64)
-    good = np.where((v == 0).any(1), 0.03, 0.97)
+    cast = [(v == c).astype(float) for c in "-+0"]
+    good = np.where(cast[0].any(1), 0.03, 0.97)
+    rates = np.zeros((v.shape[1], 3, 2))
     for _ in range(rounds):
-        table = np.full((v.shape[1], 2, 3), 1.0)
-        for c, weight in ((0, (1 - good) * n), (1, good * n)):
-            for k in range(v.shape[1]):
-                table[k, c] += np.bincount(v[:, k], weights=weight, minlength=3)
-        table /= table.sum(axis=2, keepdims=True)
-        prior = (np.array([((1 - good) * n).sum(), (good * n).sum()]) + 1) / (n.sum() + 2)
-        log = np.log(prior)[None, :] + sum(np.log(table[k][:, v[:, k]]).T for k in range(v.shape[1]))
-        new = sigmoid(log[:, 1] - log[:, 0])
+        mass = np.array([((1 - good) * n).sum(), (good * n).sum()])
+        for vote in (0, 1, 2):
+            for c, weight in ((0, (1 - good) * n), (1, good * n)):
+                rates[:, vote, c] = (cast[vote].T @ weight + 1) / (mass[c] + 3)
+        rates[:, 0, 1] = np.minimum(rates[:, 0, 1], FALSE_ALARMS)
+        odds = np.log((mass[1] + 1) / (mass[0] + 1)) + sum(cast[vote] @ np.log(rates[:, vote, 1] / rates[:, vote, 0]) for vote in (0, 1, 2))
+        new = sigmoid(odds)
         moved, good = np.abs(new - good).max(), new
         if moved < 1e-6:
             break
-    return table, dict(zip(patterns, good.tolist()))
+    return rates, dict(zip(patterns, good.tolist()))
 
 
 def _buckets(b: np.ndarray) -> np.ndarray:
@@ -123,21 +130,27 @@ def _frequencies(column: pa.Array) -> np.ndarray:
     return out
 
 
-def fit_scorer(texts: list[str], good: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weights of the trigrams' shares (and of repeated words) and the intercept, for posterior labels."""
+def _trust(size: np.ndarray) -> np.ndarray:
+    """How far the shares in a text of so many bytes are taken at their word."""
+    return size / (size + 100.0)
+
+
+def fit_scorer(texts: list[str], good: np.ndarray) -> tuple[np.ndarray, float, float]:
+    """Weights of the trigrams' shares (and of repeated words), their mean score and the intercept, for posterior labels."""
     if not texts:
-        return np.zeros((1 << BITS) + 1, np.float32), 0.0
+        return np.zeros((1 << BITS) + 1, np.float32), 0.0, 0.0
     x = _frequencies(pa.array(texts, pa.large_string()))
     scale = 1 / (x.std(axis=0) + 1e-4)
     mean = x.mean(axis=0)
     x -= mean
     x *= scale
+    x *= _trust(np.array([len(t.encode()) for t in texts])).astype(np.float32)[:, None]
     w, b = fit_logistic(x, good, penalty=0.02 * len(texts), steps=120, rate=0.02)
     w = (w * scale).astype(np.float32)
-    return w, float(b - w @ mean)
+    return w, float(w @ mean), b
 
 
-def scores(column: pa.Array, w: np.ndarray, b: float) -> np.ndarray:
+def scores(column: pa.Array, w: np.ndarray, mean: float, b: float) -> np.ndarray:
     """Probability that each text is good."""
     buf, starts, ends = text_bytes(column)
     total = np.zeros(len(column))
@@ -148,7 +161,7 @@ def scores(column: pa.Array, w: np.ndarray, b: float) -> np.ndarray:
         lo, hi = int(starts[at[0]]), int(ends[at[-1]])
         mass = np.concatenate([[0.0], np.cumsum(w[_buckets(buf[lo:hi])], dtype=np.float64)])
         total[at] = (mass[ends[at] - lo - 2] - mass[starts[at] - lo]) / (ends[at] - starts[at] - 2)
-    out = sigmoid(total + w[-1] * _repeats(column) + b)
+    out = sigmoid((total + w[-1] * _repeats(column) - mean) * _trust(ends - starts) + b)
     out[ends == starts] = 0.0
     return out
 
