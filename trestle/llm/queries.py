@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, mixing, quality_model, quality_rules, secret_scan, toxicity, warc
+from . import bpe, minhash, mixing, quality_model, quality_rules, secret_scan, topk, toxicity, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,14 @@ def op8_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.score(table(spark, sf_dir, "documents"))
 
 
+def op9_bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(table(spark, sf_dir, "documents"))
+
+
+def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.nearest(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_secret_scan": op2_secret_scan,
@@ -49,6 +57,8 @@ QUERIES: dict[str, Query] = {
     "op6_minhash_dedup": op6_minhash_dedup,
     "op7_toxicity_chain": op7_toxicity_chain,
     "op8_quality_model": op8_quality_model,
+    "op9_bpe_encode": op9_bpe_encode,
+    "op10_exact_topk": op10_exact_topk,
 }
 
 ORACLES: dict[str, str] = {
@@ -56,4 +66,5 @@ ORACLES: dict[str, str] = {
     "op2_secret_scan": secret_scan.oracle(),
     "op3_warc_dedup": warc.oracle(),
     "op4_source_mixing": mixing.oracle(),
+    "op10_exact_topk": topk.oracle(),
 }
