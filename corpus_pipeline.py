@@ -1,14 +1,62 @@
-"""From documents to token ids: filter, deduplicate, redact, mix, encode."""
+"""From documents to token ids: filter, deduplicate, redact, mix, encode.
+
+Every stage takes the documents that the one before it wrote and decides for all of
+them. Columns that are not its own pass through.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from trestle.llm import bpe, minhash, mixing, secret_scan, toxicity
+from trestle.llm.common import materialise, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier chain doesn't call toxic; it is fitted on the labelled rows of ``sf_dir``."""
+    return toxicity.without_toxic(docs, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return minhash.without_copies(docs)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their secrets replaced, and ``n_chars`` to match."""
+    names = docs.columns
+    clean = docs.withColumn("text", secret_scan.redacted(spark, F.col("text")))
+    return clean.withColumn("n_chars", F.length("text").cast("long")).select(names)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their source's weight asks; each at least once."""
+    return mixing.mix(docs).drop("_copy")
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document."""
+    return bpe.encode_documents(docs)
+
 
-STAGES: list = []
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("minhash", drop_copies),
+    ("secrets", redact_secrets),
+    ("mixing", mix_sources),
+    ("bpe", encode),
+]
 
+#: models, signatures and token merges have no SQL; the tests hold the stages against brute force
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order, each over what the one before it wrote."""
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        docs = materialise(stage(spark, docs, sf_dir))
+    return docs
