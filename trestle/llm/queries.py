@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, minhash, mixing, quality_model, quality_rules, secret_scan, topk, toxicity, warc
+from . import bpe, langid, minhash, mixing, quality_model, quality_rules, secret_scan, topk, toxicity, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,10 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", F.col("_copy").alias("copy"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.copies(table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Query] = {
     "op2_secret_scan": op2_secret_scan,
     "op3_warc_dedup": op3_warc_dedup,
     "op4_source_mixing": op4_source_mixing,
+    "op5_language_id": op5_language_id,
     "op6_minhash_dedup": op6_minhash_dedup,
     "op7_toxicity_chain": op7_toxicity_chain,
     "op8_quality_model": op8_quality_model,
