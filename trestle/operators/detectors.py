@@ -73,7 +73,7 @@ def candidate_pairs(items: DataFrame, least: float, key: str = "fn_id", kinds: s
     """
     ids = items.where(F.size(kinds) > 0).select(F.col(key).alias("id"), F.col(kinds).alias("kinds"))
     counted = ids.select("id", F.explode("kinds").alias("kind"), F.size("kinds").alias("n")).groupBy("id", "n", "kind").agg(F.count("*").alias("c"))
-    members = counted.select("id", "n", F.struct("kind", F.explode(F.sequence(F.lit(1), F.col("c").cast("int"))).alias("nth")).alias("member"))
+    members = counted.select("id", "n", "kind", F.explode(F.sequence(F.lit(1), F.col("c").cast("int"))).alias("nth")).select("id", "n", F.struct("kind", "nth").alias("member"))
     rare = members.groupBy("member").agg(F.count("*").alias("df"))
     place = F.row_number().over(Window.partitionBy("id").orderBy("df", "member"))
     prefix = members.join(rare, "member").withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1)

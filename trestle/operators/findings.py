@@ -32,7 +32,7 @@ def disambiguate(findings: DataFrame) -> DataFrame:
     order = Window.partitionBy("_rule", "_subject").orderBy(F.col("file").asc_nulls_first(), F.col("line").asc_nulls_first(), F.col("message").asc_nulls_first())
     numbered = keyed.withColumn("_nth", F.row_number().over(order) - 1)
     parts = keyed.select("_rule", F.regexp_extract("_subject", r"(?s)^(.*)#(\d{1,9})$", 1).alias("_base"), F.regexp_extract("_subject", r"#(\d{1,9})$", 1).alias("_k"))
-    taken = parts.where("_k <> ''").groupBy("_rule", "_base").agg(F.array_sort(F.collect_set(F.col("_k").cast("int"))).alias("_taken")).withColumnRenamed("_base", "_subject")
+    taken = parts.where("_k <> ''").groupBy("_rule", "_base").agg(F.array_sort(F.collect_set(F.col("_k").try_cast("int"))).alias("_taken")).withColumnRenamed("_base", "_subject")
     both = numbered.join(taken, ["_rule", "_subject"], "left").withColumn("_taken", F.coalesce("_taken", F.array().cast("array<int>")))
     free = F.get(F.filter(F.sequence(F.lit(1), F.col("_nth") + F.size("_taken") + 1), lambda k: ~F.array_contains(F.col("_taken"), k)), F.col("_nth") - 1)
     identity = F.when(F.col("_nth") > 0, F.concat(F.col("_subject"), F.lit("#"), free.cast("string"))).otherwise(F.col("identity"))
