@@ -34,7 +34,7 @@ def markup_elements(pages: DataFrame, file_col: str = "url", html_col: str = "ht
 
 def text_files(spark: SparkSession, path: str) -> DataFrame:
     """``file`` and ``text`` of every file below a folder."""
-    return spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path).select(F.input_file_name().alias("file"), F.col("value").alias("text"))
+    return spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("text"))
 
 
 _EDGES = [
@@ -110,7 +110,7 @@ def schema_elements(files: DataFrame, text: str = "text") -> DataFrame:
 def read_baseline(spark: SparkSession, path: str) -> DataFrame:
     """Accepted findings from the JSON that :func:`write_baseline` writes; a file that is absent or of another shape is empty."""
     try:
-        text = spark.read.option("wholetext", "true").text(path).first()
+        text = spark.read.text(path, wholetext=True).first()
         rows = json.loads(text[0])["violations"]
         return spark.createDataFrame([tuple(r.get(n) for n in BASELINE.names) for r in rows], BASELINE)
     except Exception as e:
