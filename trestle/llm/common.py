@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 import tempfile
 import uuid
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -89,12 +90,14 @@ def row_key(id_col: str, text_col: str):
 
 
 def sample_rows(df: DataFrame, limit: int, files: int = 8) -> DataFrame:
-    """At most about ``limit`` rows from up to ``files`` evenly spaced input files.
+    """At most ``limit`` rows of ``df``; of a bare Parquet scan with several files, as many from each of up to ``files`` evenly spaced ones.
 
-    Where ``df`` isn't a scan of several files, the rows come from all of it.
+    Pass the scan itself and select afterwards: anything but a scan gives the rows
+    that come first.
     """
     names = sorted(df.inputFiles())
-    if len(names) > files:
-        keep = [names[i * len(names) // files] for i in range(files)]
-        df = df.sparkSession.read.schema(df.schema).parquet(*keep)
-    return df.limit(limit)
+    if len(names) < 2 or df._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        return df.limit(limit)
+    n = min(files, len(names), limit)
+    each = [df.sparkSession.read.schema(df.schema).parquet(names[i * len(names) // n]).limit(limit // n) for i in range(n)]
+    return reduce(DataFrame.unionAll, each)

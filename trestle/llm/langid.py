@@ -215,7 +215,7 @@ def spans(net: Network, raw: bytes) -> list[tuple[int, int, str]]:
 
 def labelled_network(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: int = TRAINING_ROWS) -> Network:
     """Train on at most ``rows`` texts whose language is known."""
-    known = sample_rows(docs.select(F.col(text_col).alias("t"), F.col(lang_col).alias("l")).where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)), rows).collect()
+    known = sample_rows(docs, rows).where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(text_col).alias("t"), F.col(lang_col).alias("l")).collect()
     return train([r["t"].encode() for r in known], [r["l"] for r in known])
 
 

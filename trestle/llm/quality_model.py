@@ -171,7 +171,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
     pattern = votes(text_col)
     counted = docs.groupBy(pattern.alias("p")).count().where("p IS NOT NULL").collect()  # three to the power of the labellers at most
     _, posterior = estimate({r["p"]: r["count"] for r in counted})
-    sample = sample_rows(docs.select(text_col).where(F.length(text_col) > 0), rows).select(F.col(text_col).alias("t"), pattern.alias("p")).collect()
+    sample = sample_rows(docs, rows).where(F.length(text_col) > 0).select(F.col(text_col).alias("t"), pattern.alias("p")).collect()
     model = ship(docs.sparkSession, fit_scorer([r["t"] for r in sample], np.array([posterior.get(r["p"], 0.5) for r in sample])))
 
     def run(column: pa.Array) -> pa.Array:

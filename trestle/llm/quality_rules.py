@@ -58,7 +58,7 @@ def _condition(rule: QualityRule, text_col: str) -> Column:
 
 def order_rules(docs: DataFrame, text_col: str = "text", rules: list[QualityRule] = RULES, sample: int = SAMPLE_ROWS) -> list[QualityRule]:
     """Rules by rejections per second on a sample, the most first; an empty sample keeps the order."""
-    rows = [(r[0],) for r in sample_rows(docs.select(text_col), sample).collect()]
+    rows = [(r[0],) for r in sample_rows(docs, sample).select(text_col).collect()]
     if not rows:
         return list(rules)
     local = docs.sparkSession.createDataFrame(rows, "t string").coalesce(1)
