@@ -15,15 +15,22 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: passes over the most repeated source for each pass over the least repeated
 MAX_REPEATS = 1.5
 SEED = "mix-1"
+#: sources whose table is broadcast; with more of them the joins shuffle
+BROADCAST_SOURCES = 100_000
 _HEX = 4
 
 
+def _per_source(spark: SparkSession, rows: list, schema: str) -> DataFrame:
+    df = spark.createDataFrame(rows, schema)
+    return F.broadcast(df) if len(rows) <= BROADCAST_SOURCES else df
+
+
 def token_estimate(text_col: str) -> Column:
     """A token for every four bytes, rounded up."""
     return F.coalesce(F.expr(f"(octet_length(`{text_col}`) + 3) div 4"), F.lit(0)).cast("long")
@@ -79,20 +86,20 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     cut: dict[str, str] = {}
     if partial:
         spark = docs.sparkSession
-        budgets = F.broadcast(spark.createDataFrame(list(partial.items()), "key string, rest long"))
+        budgets = _per_source(spark, list(partial.items()), "key string, rest long")
         order = Window.partitionBy("key").orderBy("block")
         ahead = blocks.join(budgets, "key").withColumn("until", F.sum("tokens").over(order)).where("until > rest")
         ends = ahead.groupBy("key").agg(F.min(F.struct("block", (F.col("until") - F.col("tokens")).alias("before"), "rest")).alias("x")).select("key", "x.*").collect()
         if ends:
-            last = F.broadcast(spark.createDataFrame(ends, "key string, block string, before long, rest long"))
+            last = _per_source(spark, ends, "key string, block string, before long, rest long")
             inside = narrow.withColumn("block", F.substring("place", 1, _HEX)).join(last, ["key", "block"])
             running = F.col("before") + F.sum("tokens").over(Window.partitionBy("key").orderBy("place").rangeBetween(Window.unboundedPreceding, 0))
             fit = inside.withColumn("until", running).where("until <= rest").groupBy("key").agg(F.max("place").alias("place")).collect()
             cut = {r["key"]: r["block"] for r in ends} | {r["key"]: r["place"] for r in fit}
     if not sums:
         return docs.withColumn("_copy", F.lit(0)).limit(0)
-    table = docs.sparkSession.createDataFrame([(k, full[k], cut.get(k, "g" if k in partial else "")) for k in sums], "_key string, _full int, _until string")
-    out = docs.join(F.broadcast(table), key == F.col("_key"))
+    table = _per_source(docs.sparkSession, [(k, full[k], cut.get(k, "g" if k in partial else "")) for k in sums], "_key string, _full int, _until string")
+    out = docs.join(table, key == F.col("_key"))
     times = F.col("_full") + (place <= F.col("_until")).cast("int")
     return out.withColumn("_copy", F.explode(_copies(times))).drop("_key", "_full", "_until")
 
