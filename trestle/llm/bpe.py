@@ -25,7 +25,7 @@ import base64
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -139,21 +139,22 @@ def _list_array(parts: list[np.ndarray], valid: list[bool]) -> pa.Array:
 
 
 def encoder(spark: SparkSession, ranks: dict[bytes, int], pattern: str = PATTERN):
-    """A function from a text column to token ids; the vocabulary is what is sent to the workers."""
+    """A function from a text column to a struct of ``tokens`` and ``exact``, whether they decode to the very text; the vocabulary is what is sent to the workers."""
     shipped = ship(spark, (ranks, pattern))
 
     def run(column: pa.Array) -> pa.Array:
         cache = worker_cache()
         key = shipped()
         if cache.get("bpe", (None,))[0] is not key:
-            cache["bpe"] = key, Encoder(*key)
-        machine = cache["bpe"][1]
+            cache["bpe"] = key, Encoder(*key), {i: t for t, i in key[0].items()}
+        _, machine, table = cache["bpe"]
         buf, starts, ends = text_bytes(column)
         valid = column.is_valid().to_pylist()
         parts = [machine.encode(buf[s:e]) for s, e in zip(starts.tolist(), ends.tolist())]
-        return _list_array(parts, valid)
+        exact = [b"".join([table[i] for i in p.tolist()]) == buf[s:e].tobytes() for p, s, e in zip(parts, starts.tolist(), ends.tolist())]
+        return pa.StructArray.from_arrays([_list_array(parts, valid), pa.array(exact, pa.bool_())], names=["tokens", "exact"])
 
-    return F.arrow_udf(run, T.ArrayType(T.IntegerType(), False))
+    return F.arrow_udf(run, T.StructType([T.StructField("tokens", T.ArrayType(T.IntegerType(), False)), T.StructField("exact", T.BooleanType())]))
 
 
 def decoder(spark: SparkSession, ranks: dict[bytes, int]):
@@ -174,8 +175,5 @@ def decoder(spark: SparkSession, ranks: dict[bytes, int]):
 
 def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """Id, token ids, their number, and whether they decode to the very text."""
-    ranks = load_ranks(path or vocabulary_path())
-    spark = docs.sparkSession
-    coded = docs.select(F.col(id_col), F.col(text_col).alias("_text"), encoder(spark, ranks)(F.col(text_col)).alias("tokens"))
-    back: Column = decoder(spark, ranks)(F.col("tokens"))
-    return coded.select(id_col, "tokens", F.size("tokens").alias("n_tokens"), F.col("_text").eqNullSafe(back).alias("exact"))
+    coded = docs.select(F.col(id_col), encoder(docs.sparkSession, load_ranks(path or vocabulary_path()))(F.col(text_col)).alias("_coded"))
+    return coded.select(id_col, F.col("_coded.tokens").alias("tokens"), F.size("_coded.tokens").alias("n_tokens"), F.col("_coded.exact").alias("exact"))

@@ -14,6 +14,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: rows that go to a Python worker at once, where the session leaves it at Spark's default; texts are long
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches of texts small, unless the session says otherwise."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables in ``sf_dir``."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -49,6 +59,7 @@ def worker_cache() -> dict:
 
 def ship(spark: SparkSession, value):
     """Broadcast ``value`` and return a function that gives it on a worker, which needs no copy of this package."""
+    small_batches(spark)
     data = spark.sparkContext.broadcast(cloudpickle.dumps(value))
     key = uuid.uuid4().hex
 

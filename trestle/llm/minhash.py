@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise
+from .common import materialise, small_batches
 from .textfeat import shingles, words
 
 K, SHINGLE, THRESHOLD = 96, 3, 0.46
@@ -63,6 +63,7 @@ def signatures_of(column: pa.Array, k: int = K, n: int = SHINGLE) -> tuple[np.nd
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, k: int = K, n: int = SHINGLE) -> DataFrame:
     """``id`` and ``sig`` (4 bytes a coordinate) of every document that has words."""
+    small_batches(docs.sparkSession)
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
 
     def run(batches):

@@ -15,7 +15,7 @@ from .common import text_bytes, worker_cache
 
 _PRIME = 0x9E3779B97F4A7C15
 #: bytes of text that are hashed at once; a longer text is a piece of its own
-PIECE = 1 << 21
+PIECE = 1 << 19
 
 
 def mix64(h: np.ndarray) -> np.ndarray:
@@ -44,7 +44,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     cache = worker_cache()
     have = cache.get("powers")
     if have is None or len(have[0]) < n:
-        size = max(n, PIECE + (1 << 18))
+        size = max(n, PIECE + (1 << 17))
         both = []
         for base in (_PRIME, pow(_PRIME, -1, 1 << 64)):
             p = np.empty(size, np.uint64)
@@ -56,7 +56,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
                 done += step
             both.append(p)
         have = both[0], both[1]
-        if n <= PIECE + (1 << 18):
+        if n <= PIECE + (1 << 17):
             cache["powers"] = have
     return have
 
