@@ -59,6 +59,32 @@ def test_sample_comes_from_many_files_and_keeps_filters(spark, tmp_path):
     assert sample_rows(scan.where("id < 0"), 5).count() == 0
 
 
+def test_training_samples_see_the_whole_table(spark, tmp_path):
+    from trestle.llm.common import spread_sample
+
+    rng = random.Random(4)
+    rows = [(i, None if i < 60 else prose(rng, 12) if i < 360 else "", None if i < 120 else "aa") for i in range(400)]
+    rows += [(400 + i, " ".join("".join(rng.choice("opqrsß") for _ in range(5)) for _ in range(12)), "zz") for i in range(20)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1).write.parquet(f"{tmp_path}/clustered")
+    docs = spark.read.parquet(f"{tmp_path}/clustered")
+    net = langid.labelled_network(docs, rows=40)
+    assert net.languages == ["aa", "zz"]
+    got = spread_sample(docs.unionAll(docs), "text", F.col("lang"), lambda counts: dict.fromkeys(counts, 30))
+    assert {g: len({t for t, h in got if h == g}) for g in ("aa", "zz")} == {"aa": 30, "zz": 20} and len(got) == 50
+    assert sorted(got) == sorted(spread_sample(docs.repartition(7), "text", F.col("lang"), lambda counts: dict.fromkeys(counts, 30)))
+    assert spread_sample(docs.where("lang IS NULL"), "text", F.col("lang"), dict) == []
+
+
+def test_quality_sample_has_every_vote_pattern(spark, tmp_path, monkeypatch):
+    rng = random.Random(6)
+    rows = [(i, prose(rng, 30)) for i in range(300)] + [(300 + i, prose(rng, 4) + " $# %% =~ ^" * 9) for i in range(30)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/q")
+    seen = []
+    monkeypatch.setattr(quality_model, "fit_scorer", lambda texts, good, fit=quality_model.fit_scorer: (seen.extend(texts), fit(texts, good))[1])
+    quality_model.score(spark.read.parquet(f"{tmp_path}/q"), rows=100)
+    assert len(seen) <= 100 and 5 <= sum("$#" in t for t in seen) <= 15
+
+
 # 1
 def test_rules_cascade_agrees_with_every_order(spark, corpus):
     bad = spark.createDataFrame([(1, "$$$ ### %%%" * 9), (2, "A | B | C | D"), (3, "HELLO WORLD LOUD"), (4, "go go go go go go"), (5, "A fine sentence about rivers."), (6, " \n"), (7, "wow!!!!!!")], "doc_id long, text string")

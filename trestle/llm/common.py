@@ -5,12 +5,13 @@ from __future__ import annotations
 import sys
 import tempfile
 import uuid
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -112,3 +113,34 @@ def sample_rows(df: DataFrame, limit: int, files: int = 8) -> DataFrame:
     n = min(files, len(names), limit)
     each = [df.sparkSession.read.schema(df.schema).parquet(names[i * len(names) // n]).limit(limit // n) for i in range(n)]
     return reduce(DataFrame.unionAll, each)
+
+
+def spread_sample(docs: DataFrame, text_col: str, group: Column, quotas: Callable[[dict[str, int]], dict[str, int]]) -> list[tuple[str, str]]:
+    """Different texts of the whole table with their group (a string): of each group as many as ``quotas`` makes of the rows of all groups, those with the least hash.
+
+    Rows without text or group are left out before anything is counted. The texts
+    are hashed in one pass, and only those chosen are read in another.
+    """
+    spark = docs.sparkSession
+    keys = materialise(docs.where(F.length(text_col) > 0).select(group.alias("g"), F.xxhash64(F.col(text_col)).alias("k")).where("g IS NOT NULL"))
+    quota = quotas({r["g"]: r["count"] for r in keys.groupBy("g").count().collect()})
+
+    def least(batches):
+        kept: dict[str, np.ndarray] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = batch.column(0).dictionary_encode()
+            of, k = names.indices.to_numpy(), batch.column(1).to_numpy()
+            for i, name in enumerate(names.dictionary.to_pylist()):
+                kept[name] = np.unique(np.concatenate([kept.get(name, k[:0]), k[of == i]]))[: quota[name]]
+        rows = [(name, k) for name, ks in kept.items() for k in ks.tolist()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], names=["g", "k"])
+
+    chosen = [(r["k"], r["g"]) for r in keys.mapInArrow(least, keys.schema).repartition(1).mapInArrow(least, keys.schema).collect()]
+    if not chosen:
+        return []
+    wanted = F.broadcast(spark.createDataFrame(sorted({(k,) for k, _ in chosen}), "k long"))
+    found = docs.where(F.length(text_col) > 0).select(F.xxhash64(F.col(text_col)).alias("k"), F.col(text_col).alias("t")).join(wanted, "k", "left_semi")
+    texts = {r["k"]: r["t"] for r in found.groupBy("k").agg(F.min("t").alias("t")).collect()}
+    return [(texts[k], g) for k, g in sorted(chosen)]

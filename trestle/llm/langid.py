@@ -3,7 +3,8 @@
 Two gated recurrent units read every text byte by byte, one from each end; at each
 position both states give the probabilities of the languages, and a document's are
 the mean over its positions. The network is trained here, in numpy, by
-backpropagation through time over windows of a bounded sample of labelled rows.
+backpropagation through time over windows of a bounded sample of labelled rows, which
+has every language of the table.
 
 Long texts are read as segments side by side; each reader starts ``CONTEXT`` bytes
 outside its segment, where the text has them, so that it arrives with a state.
@@ -26,9 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import sample_rows, ship, text_bytes
+from .common import ship, spread_sample, text_bytes
 
-#: labelled texts that the network is trained on, at most
+#: labelled texts that the network is trained on, at most; every language has one at least
 TRAINING_ROWS = 1500
 HIDDEN, WINDOW, BATCH, STEPS, RATE = 8, 64, 256, 240, 0.02
 SEGMENT, CONTEXT, LANES = 256, 32, 1024
@@ -214,9 +215,12 @@ def spans(net: Network, raw: bytes) -> list[tuple[int, int, str]]:
 
 
 def labelled_network(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: int = TRAINING_ROWS) -> Network:
-    """Train on at most ``rows`` texts whose language is known."""
-    known = sample_rows(docs, rows).where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(text_col).alias("t"), F.col(lang_col).alias("l")).collect()
-    return train([r["t"].encode() for r in known], [r["l"] for r in known])
+    """Train on about ``rows`` texts at most whose language is known, of every language in the table as many, those with the least hash.
+
+    With more languages than ``rows`` each still has one text.
+    """
+    known = spread_sample(docs, text_col, F.col(lang_col), lambda counts: dict.fromkeys(counts, max(rows // max(len(counts), 1), 1)))
+    return train([t.encode() for t, _ in known], [lang for _, lang in known])
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", net: Network | None = None, lang_col: str = "lang") -> DataFrame:

@@ -2,7 +2,8 @@
 
 Overlapping heuristic labellers vote good, bad or nothing on every document. The
 votes of the whole corpus are counted by pattern, and expectation-maximisation over
-those counts estimates how often each labeller's votes are right and wrong. The posterior labels of a bounded sample then train a linear scorer over hashed byte
+those counts estimates how often each labeller's votes are right and wrong. The posterior labels of a bounded
+sample, which has every pattern by its share and once at least, then train a linear scorer over hashed byte
 trigrams, which scores every document.
 
 Defined results: a null or empty text has score 0 and isn't kept; texts of any
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import sample_rows, ship, text_bytes
+from .common import ship, spread_sample, text_bytes
 from .linear import fit_logistic, sigmoid
 from .textfeat import pieces, words
 
@@ -168,11 +169,15 @@ def scores(column: pa.Array, w: np.ndarray, mean: float, b: float) -> np.ndarray
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, rows: int = TRAINING_ROWS) -> DataFrame:
     """Every document's id, its quality score and whether it is kept."""
-    pattern = votes(text_col)
-    counted = docs.groupBy(pattern.alias("p")).count().where("p IS NOT NULL").collect()  # three to the power of the labellers at most
-    _, posterior = estimate({r["p"]: r["count"] for r in counted})
-    sample = sample_rows(docs, rows).where(F.length(text_col) > 0).select(F.col(text_col).alias("t"), pattern.alias("p")).collect()
-    model = ship(docs.sparkSession, fit_scorer([r["t"] for r in sample], np.array([posterior.get(r["p"], 0.5) for r in sample])))
+    posterior: dict[str, float] = {}
+
+    def quotas(counts: dict[str, int]) -> dict[str, int]:
+        posterior.update(estimate(counts)[1])
+        spare = max(rows - len(counts), 0) / max(sum(counts.values()), 1)
+        return {p: 1 + int(spare * n) for p, n in counts.items()}
+
+    sample = spread_sample(docs, text_col, votes(text_col), quotas)  # three to the power of the labellers patterns at most
+    model = ship(docs.sparkSession, fit_scorer([t for t, _ in sample], np.array([posterior[p] for _, p in sample])))
 
     def run(column: pa.Array) -> pa.Array:
         return pa.array(scores(column, *model()))
