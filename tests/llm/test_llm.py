@@ -154,6 +154,25 @@ def test_revisits_without_payload_are_joined(spark):
     assert got == {1: ("response", None), 2: ("revisit", 1), 3: ("revisit", None)}
 
 
+def test_null_ids_leave_the_rest_of_their_digest_deduplicated(spark, tmp_path):
+    import duckdb
+
+    rows = [(None, "http://n", "same"), (7, "http://b", "same"), (5, "http://a", "same"), (None, "http://m", "alone"), (9, "http://c", None), (None, None, "")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages")
+    path = f"file://{tmp_path}/n"
+    got = [tuple(r) for r in warc.deduplicated(spark.read.parquet(f"{tmp_path}/pages"), path).collect()]
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages/*.parquet')")
+        assert sorted(got, key=str) == sorted(db.execute(warc.oracle()).fetchall(), key=str)
+    assert [r[3] for r in got if r[0] == 7] == [5]
+    back = warc.read_archive(spark, path).collect()
+    assert sorted((r["uri"], r["type"]) for r in back) == [("http://a", "response"), ("http://b", "revisit"), ("http://c", "response"), ("http://m", "response"), ("http://n", "response"), ("urn:unknown", "response")]
+    records = spark.createDataFrame([(None, "revisit", "u0", "d1", None), (1, "response", "u1", "d1", "x"), (None, "response", "u2", "d1", "x")], "id long, kind string, uri string, digest string, payload string")
+    warc.write_archive(records, f"file://{tmp_path}/r")
+    kept = {r["uri"]: r for r in warc.read_archive(spark, f"file://{tmp_path}/r").collect()}
+    assert {u: r["type"] for u, r in kept.items()} == {"u0": "revisit", "u1": "response", "u2": "response"} and kept["u0"]["refers_to"] == kept["u1"]["record_id"]
+
+
 def test_empty_archive(spark, tmp_path):
     none = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.deduplicated(none, f"file://{tmp_path}/e").count() == 0

@@ -1,15 +1,16 @@
 """Web archives: reading, writing, and the resolution of revisit records.
 
 Headers alone are shuffled by payload digest. In each digest the response with the
-smallest id is the original; later responses with the same payload become revisit
+smallest id (nulls aside) is the original; later responses with the same payload become revisit
 records, and revisit records that came without a payload are joined to it. The
 archive is then written with fresh headers. Record ids are made of content, so a
 task that runs again writes the same bytes.
 
 Defined results: a null payload of a response counts as empty; a null address
 becomes ``urn:unknown``; a revisit without an original stays, referring to nothing;
-rows that share an id and a payload are one capture and are written alike; other
-columns are left alone; an empty table makes an empty archive.
+rows that share an id and a payload are one capture and are written alike; a response
+without an id stays a response and is nobody's original, a revisit without an id is
+joined to the original of its digest; other columns are left alone; an empty table makes an empty archive.
 """
 
 from __future__ import annotations
@@ -42,7 +43,7 @@ def resolve(records: DataFrame) -> DataFrame:
     that has none, and sets ``kind`` to what the record becomes.
     """
     same = Window.partitionBy("digest")
-    first = F.min(F.when(F.col("kind") == "response", F.struct("id", "uri"))).over(same)
+    first = F.min(F.when((F.col("kind") == "response") & F.col("id").isNotNull(), F.struct("id", "uri"))).over(same)
     repeats = (F.col("kind") == "revisit") | (F.col("id") != F.col("first.id"))
     return (
         records.select("id", "kind", "uri", "digest")
@@ -94,8 +95,9 @@ def write_archive(records: DataFrame, path: str, captured: str = CAPTURED) -> Da
     they move once, by record id.
     """
     headers = resolve(records)
-    repeats = headers.where("kind = 'revisit' AND id IS NOT NULL").select("id", "digest", "kind", "refers_to", "refers_uri").distinct()
-    rows = records.drop("kind").join(repeats, ["id", "digest"], "left").withColumn("kind", F.coalesce("kind", F.lit("response"))).withColumn("payload", F.coalesce("payload", F.lit("")))
+    repeats = headers.where("kind = 'revisit'").select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), F.lit("revisit").alias("_kind"), "refers_to", "refers_uri").distinct()
+    same = (F.col("digest") == F.col("_digest")) & F.col("id").eqNullSafe(F.col("_id")) & (F.col("id").isNotNull() | (F.col("kind") == "revisit"))
+    rows = records.join(repeats, same, "left").withColumn("kind", F.coalesce("_kind", F.when(F.col("id").isNull(), F.col("kind")), F.lit("response"))).withColumn("payload", F.coalesce("payload", F.lit("")))
     rows.select(record_text(captured).alias("value")).write.option("lineSep", _END).option("compression", "gzip").text(path)
     return headers
 
