@@ -130,6 +130,22 @@ def test_secrets_found_across_segments(spark, corpus, nothing):
     assert secret_scan.find_secrets(corpus).count() == 0 and secret_scan.find_secrets(nothing).count() == 0
 
 
+def test_private_keys_go_whole(spark):
+    rng = random.Random(9)
+    line = lambda n=64: "".join(rng.choice("ABCDEFGHabcdefgh0123456789+/") for _ in range(n))
+    block = lambda kind, *lines, sep="\n": sep.join([f"-----BEGIN {kind}PRIVATE KEY-----", *lines, f"-----END {kind}PRIVATE KEY-----"])
+    one, two = block("RSA ", line(), line(), line(21) + "="), block("", line(), line(5) + "==", sep="\\n")
+    sealed = block("EC ", "Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0A1B", "", line(), line(9))
+    cut = one[: one.rindex("\n-----END")]
+    rows = [(1, f"a {one} b - c {two} d"), (2, f"é {sealed} é"), (3, f"x\n{cut}"), (4, "-----BEGIN PRIVATE KEY----- is how a header begins"), (5, one), (6, block("RSA ", line(), line(), line(21) + "="))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = {r[0]: r[1] for r in df.select("doc_id", secret_scan.redacted(spark, F.col("text"))).collect()}
+    mark = "[secret:private_key]"
+    assert clean == {1: f"a {mark} b - c {mark} d", 2: f"é {mark} é", 3: f"x\n{mark}", 4: f"{mark} is how a header begins", 5: mark, 6: mark}
+    found = {r["doc_id"]: (r["n_matches"], r["first_sha256"]) for r in secret_scan.find_secrets(df).collect()}
+    assert found[1] == (2, hashlib.sha256(one.encode()).hexdigest()) == (2, found[5][1]) and found[6][1] != found[5][1]
+
+
 # 3
 def test_archive_round_trip_and_revisits(spark, tmp_path):
     pages = spark.createDataFrame([(1, "http://a/1", "<p>é</p>"), (2, "http://a/2", "<p>é</p>"), (3, None, None), (4, "http://b\r\nX: y", "WARC/1.1\r\n\r\n"), (5, "http://c", ""), (6, "http://d", "z" * 300_000), (1, "http://a/1", "<p>é</p>")], "page_id long, url string, html string").withColumn("kind", F.lit("clash"))
