@@ -130,6 +130,17 @@ def test_secrets_found_across_segments(spark, corpus, nothing):
     assert secret_scan.find_secrets(corpus).count() == 0 and secret_scan.find_secrets(nothing).count() == 0
 
 
+def test_secrets_behind_punctuation_and_in_any_url(spark):
+    hub, key = "ghp_" + "a1B2" * 9, "AKIA" + "Q7" * 8
+    rows = [f"https://{hub}@github.com", f"/{key}", f"x.{key} my_{key}", "mongodb+srv://user:pw@host", "postgresql+psycopg2://u:pw@host", "redis://:pw@host", f"Z{key}", "http://host:80/a@b", "x-AIza" + "b-" * 17 + "c", "AIza is no key"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = sorted(tuple(r)[:3] for r in secret_scan.find_secrets(df).collect())
+    assert got == [(0, "github_token", 1), (1, "aws_access_key", 1), (2, "aws_access_key", 2), (3, "url_password", 1), (4, "url_password", 1), (5, "url_password", 1), (8, "google_api_key", 1)]
+    clean = [r[0] for r in df.select(secret_scan.redacted(spark, F.col("text"))).collect()]
+    aws, url = "[secret:aws_access_key]", "[secret:url_password]"
+    assert clean == ["https://[secret:github_token]@github.com", f"/{aws}", f"x.{aws} my_{aws}", f"{url}host", f"{url}host", f"{url}host", *rows[6:8], "x-[secret:google_api_key]", rows[9]]
+
+
 def test_private_keys_go_whole(spark):
     rng = random.Random(9)
     line = lambda n=64: "".join(rng.choice("ABCDEFGHabcdefgh0123456789+/") for _ in range(n))
