@@ -258,17 +258,37 @@ def test_language_network_learns_and_labels_every_byte(spark, nothing):
     assert langid.identify(nothing).count() == 0
 
 
-def test_language_segments_see_the_same_as_one_pass():
-    net = langid.train([b"abc def " * 20, b"xyz uvw " * 20], ["a", "b"], steps=20)
-    buf = np.frombuffer(b"abc xyz def uvw " * 8, np.uint8)
-    got = np.zeros((len(buf), 2))
-    for _, place, p in langid.positions(net, buf, np.array([0]), np.array([len(buf)])):
-        got[place] = p
-    ahead, _ = langid._states(buf[None, :], net.inputs[0], net.recurrence[0])
-    behind, _ = langid._states(buf[None, ::-1], net.inputs[1], net.recurrence[1])
-    logits = np.stack(ahead[1:])[:, 0] @ net.output[0] + np.stack(behind[1:])[::-1, 0] @ net.output[1] + net.bias
-    want = np.exp(logits) / np.exp(logits).sum(1, keepdims=True)
-    assert np.allclose(got, want, atol=1e-4)
+def test_language_segments_see_the_same_as_one_pass(monkeypatch):
+    rng = random.Random(12)
+    make = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    net = langid.train([make("abc def é ", 300).encode() for _ in range(20)] + [make("xyz uvw ", 300).encode() for _ in range(20)], ["a"] * 20 + ["b"] * 20, steps=60)
+
+    def one_pass(raw):
+        ahead, _ = langid._states(raw[None, :], net.inputs[0], net.recurrence[0])
+        behind, _ = langid._states(raw[None, ::-1], net.inputs[1], net.recurrence[1])
+        logits = np.stack(ahead[1:])[:, 0] @ net.output[0] + np.stack(behind[1:])[::-1, 0] @ net.output[1] + net.bias
+        return np.exp(logits) / np.exp(logits).sum(1, keepdims=True)
+
+    texts = [make(rng.choice(["abc def xyz ", "abc", "uvw xyz", "é a"]), n).encode() for n in (300, 0, 1, 511, 512, 513, 5_000, 40_000)] + [b" " * 3000]
+    buf, ends = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts])
+    starts = ends - [len(t) for t in texts]
+    for lanes in (4096, 7):
+        monkeypatch.setattr(langid, "LANES", lanes)
+        got, of = np.zeros((len(buf), 2)), np.full(len(buf), -1)
+        for doc, place, p in langid.positions(net, buf, starts, ends):
+            got[place], of[place] = p, doc
+        assert (of == np.repeat(np.arange(len(texts)), ends - starts)).all()
+        for s, e in zip(starts, ends):
+            assert e == s or np.abs(got[s:e] - one_pass(buf[s:e])).max() < 1e-5
+
+
+def test_language_of_documents_held_out(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) > 0 AND lang IS NOT NULL")
+    seen = F.xxhash64("text") % 2 == 0
+    net = langid.labelled_network(docs.where(seen), rows=400)
+    held = docs.where(~seen).join(docs.where(seen).select("text"), "text", "left_anti")
+    rows = langid.identify(held, net=net).join(held.select("doc_id", "lang"), "doc_id").collect()
+    assert len(rows) > 300 and np.mean([r["predicted"] == r["lang"] for r in rows]) > 0.97
 
 
 # 6

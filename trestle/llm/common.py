@@ -31,18 +31,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as ``spark.checkpoint.dir`` names it.
+    """This application's folder below the one that all executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only a session without that setting (tests, a local shell) gets a folder
-    of its own.
+    A local session without that setting (tests, a shell) gets a folder of its own;
+    on a cluster it is an error. The folder goes when the driver's file system is closed.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="trestle-")
-        spark.conf.set("spark.checkpoint.dir", path)
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="trestle-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    path = f"{base.rstrip('/')}/trestle-{spark.sparkContext.applicationId}"
+    if path not in _SCRATCH:
+        _SCRATCH.add(path)
+        fs, where = _file_system(spark, path)
+        fs.mkdirs(where)
+        fs.deleteOnExit(where)
     return path
 
 
+_SCRATCH: set[str] = set()
+
+
+def _file_system(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again.
 
@@ -50,7 +67,23 @@ def materialise(df: DataFrame) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    again = df.sparkSession.read.schema(df.schema).parquet(path)
+    again._trestle_path = path
+    return again
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what :func:`materialise` wrote for ``df``; nothing may read it any more."""
+    fs, where = _file_system(df.sparkSession, df._trestle_path)
+    fs.delete(where, True)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores behind it until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def worker_cache() -> dict:

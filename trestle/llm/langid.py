@@ -6,9 +6,11 @@ the mean over its positions. The network is trained here, in numpy, by
 backpropagation through time over windows of a bounded sample of labelled rows, which
 has every language of the table.
 
-Long texts are read as segments side by side; each reader starts ``CONTEXT`` bytes
-outside its segment, where the text has them, so that it arrives with a state.
-Squashing is by x / (1 + abs(x)), which needs no exponentials.
+Texts are read as segments side by side. Where the state in which a reader entered
+its segment isn't that in which it left the one before, the segment is read again
+from there, until the states meet, so that every position has the labels of a single
+pass over the whole text. Squashing is by x / (1 + abs(x)), which needs no
+exponentials.
 
 Defined results: a null or empty text has no language and probability 0; texts of
 any length are read whole; ties go to the language that comes first in the
@@ -32,7 +34,9 @@ from .common import ship, spread_sample, text_bytes
 #: labelled texts that the network is trained on, at most; every language has one at least
 TRAINING_ROWS = 1500
 HIDDEN, WINDOW, BATCH, STEPS, RATE = 8, 64, 256, 240, 0.02
-SEGMENT, CONTEXT, LANES = 256, 32, 1024
+SEGMENT, LANES = 512, 4096
+#: states closer than this are the same
+TOLERANCE = 1e-6
 
 
 @dataclass
@@ -150,48 +154,127 @@ def train(texts: list[bytes], labels: list[str], steps: int = STEPS, hidden: int
     return net
 
 
-def _read(net: Network, side: int, buf: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """Output of one direction ``[step, lane, language]`` for lanes sorted by falling length; a negative step goes back from ``begin``."""
-    e, u, o = net.inputs[side], net.recurrence[side], net.output[side]
-    steps = int(length[0])
-    out = np.zeros((steps, len(begin), o.shape[1]), np.float32)
+def _step(g: np.ndarray, h: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """:func:`_cell` without what training needs."""
+    k = h.shape[1]
+    s = h @ u
+    rz = g[:, : 2 * k] + s[:, : 2 * k]
+    rz /= np.abs(rz) + 1
+    rz *= 0.5
+    rz += 0.5
+    n = s[:, 2 * k :] * rz[:, :k]
+    n += g[:, 2 * k :]
+    n /= np.abs(n) + 1
+    h = h - n
+    h *= rz[:, k:]
+    h += n
+    return h
+
+
+def _read(net: Network, side: int, buf: np.ndarray, begin: np.ndarray, length: np.ndarray, before: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """States ``[step, lane, unit]`` of one direction, and those in which lanes end; lanes are sorted by falling length.
+
+    A lane is entered in the state in which lane ``before`` of it ends, or in its own
+    of ``first`` where that is negative.
+    """
+    e, u = net.inputs[side], net.recurrence[side]
+    way, steps = 1 - 2 * side, int(length[0])
+    states = np.zeros((steps, len(begin), u.shape[0]), np.float32)
     alive = np.searchsorted(-length, -np.arange(steps), side="left")
-    h = np.zeros((len(begin), u.shape[0]), np.float32)
-    pos, way = begin.copy(), 1 - 2 * side
+    entry = np.where(before[:, None] < 0, first, np.float32(0))
+    last = entry.copy()
     for t in range(steps):
         n = int(alive[t])
-        h[:n], _ = _cell(e[buf[pos[:n]]], h[:n], u)
-        np.matmul(h[:n], o, out=out[t, :n])
-        pos[:n] += way
-    return out
+        states[t, :n] = last[:n] = _step(e[buf[begin[:n] + way * t]], last[:n], u)
+    while True:
+        true = np.where(before[:, None] < 0, first, last[before])
+        lane = np.flatnonzero(np.abs(true - entry).max(axis=1) > TOLERANCE)
+        if not len(lane):
+            return states, last
+        entry[lane] = h = true[lane]
+        at, left = begin[lane], length[lane]
+        t = 0
+        while len(lane):
+            h = _step(e[buf[at + way * t]], h, u)
+            t += 1
+            over = left == t
+            if t % 8 == 0 or over.any():
+                last[lane[over]] = h[over]
+                over |= np.abs(h - states[t - 1, lane]).max(axis=1) <= TOLERANCE
+                states[t - 1, lane] = h
+                if over.any():
+                    lane, at, left, h = lane[~over], at[~over], left[~over], h[~over]
+            else:
+                states[t - 1, lane] = h
+
+
+def _lanes(net: Network, buf: np.ndarray, own: np.ndarray, until: np.ndarray, doc: np.ndarray, enter: tuple[np.ndarray, np.ndarray]):
+    """States at every position of consecutive segments of texts, position after position, and the states in which both readers leave.
+
+    ``enter`` has, for each direction, the state in which the first (or the last)
+    segment of a text is entered.
+    """
+    size = until - own
+    order = np.argsort(-size, kind="stable")
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
+    inside = doc[1:] == doc[:-1]
+    ahead, behind = np.full(len(doc), -1), np.full(len(doc), -1)
+    ahead[1:][inside] = place[:-1][inside]
+    behind[:-1][inside] = place[1:][inside]
+    a, end_a = _read(net, 0, buf, own[order], size[order], ahead[order], enter[0][order])
+    b, end_b = _read(net, 1, buf, until[order] - 1, size[order], behind[order], enter[1][order])
+    lane = np.repeat(place, size)
+    nth = np.arange(len(lane)) - np.repeat(np.cumsum(size) - size, size)
+    return a[nth, lane], b[np.repeat(size, size) - 1 - nth, lane], end_a[place], end_b[place]
 
 
 def positions(net: Network, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Text, place in the buffer and language probabilities of every byte, many segments at a time."""
+    """Text, place in the buffer and language probabilities of every byte, many segments at a time.
+
+    A text of more than ``LANES`` segments is read in blocks: first backwards alone,
+    which gives the state in which each block is entered from its end.
+    """
+    hidden = net.recurrence[0].shape[0]
     pieces = -(-(ends - starts) // SEGMENT)
-    doc = np.repeat(np.arange(len(starts)), pieces)
-    nth = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    own = starts[doc] + nth * SEGMENT
-    until = np.minimum(own + SEGMENT, ends[doc])
-    begin, finish = np.maximum(own - CONTEXT, starts[doc]), np.minimum(until + CONTEXT, ends[doc])
-    order = np.argsort(begin - finish, kind="stable")
-    for i in range(0, len(order), LANES):
-        lane = order[i : i + LANES]
-        ahead_by, behind_by = until[lane] - begin[lane], finish[lane] - own[lane]
-        a, b = np.argsort(-ahead_by, kind="stable"), np.argsort(-behind_by, kind="stable")
-        ahead = _read(net, 0, buf, begin[lane][a], ahead_by[a])
-        behind = _read(net, 1, buf, finish[lane][b] - 1, behind_by[b])
-        at_a, at_b = np.empty_like(a), np.empty_like(b)
-        at_a[a] = at_b[b] = np.arange(len(lane))
-        size = until[lane] - own[lane]
-        which = np.repeat(np.arange(len(lane)), size)
-        place = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size) + own[lane][which]
-        logits = ahead[place - begin[lane][which], at_a[which]] + behind[finish[lane][which] - 1 - place, at_b[which]]
-        logits += net.bias
-        logits -= logits.max(axis=1, keepdims=True)
-        np.exp(logits, out=logits)
-        logits /= logits.sum(axis=1, keepdims=True)
-        yield doc[lane][which], place, logits
+    total = np.cumsum(pieces)
+    i = 0
+    while i < len(pieces):
+        j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + LANES, side="right")))
+        group = np.arange(i, j)
+        doc = np.repeat(group, pieces[group])
+        nth = np.arange(len(doc)) - np.repeat(np.cumsum(pieces[group]) - pieces[group], pieces[group])
+        own = starts[doc] + nth * SEGMENT
+        until = np.minimum(own + SEGMENT, ends[doc])
+        blocks = [slice(k, k + LANES) for k in range(0, len(doc), LANES)]
+        zero = np.zeros((len(doc), hidden), np.float32)
+        entered = [zero[:1]] * len(blocks)
+        for k in range(len(blocks) - 1, 0, -1):
+            s = blocks[k]
+            back = np.arange(len(doc[s]))[::-1]
+            size = (until - own)[s][back]
+            order = np.argsort(-size, kind="stable")  # the short last segment is read first, and stands last
+            place = np.argsort(order)
+            before = np.concatenate([[-1], place[:-1]])[order]
+            first = np.repeat(entered[k], len(back), axis=0)
+            _, last = _read(net, 1, buf, (until - 1)[s][back][order], size[order], before, first)
+            entered[k - 1] = last[place[-1:]]
+        carried = zero[:1]
+        for k, s in enumerate(blocks):
+            first, final = np.zeros_like(zero[s]), np.zeros_like(zero[s])
+            first[0], final[-1] = carried, entered[k]
+            a, b, end_a, _ = _lanes(net, buf, own[s], until[s], doc[s], (first, final))
+            carried = end_a[-1:]
+            which = np.repeat(np.arange(len(doc[s])), (until - own)[s])
+            spot = np.arange(len(which)) - np.repeat(np.cumsum((until - own)[s]) - (until - own)[s], (until - own)[s]) + own[s][which]
+            logits = a @ net.output[0]
+            logits += b @ net.output[1]
+            logits += net.bias
+            logits -= logits.max(axis=1, keepdims=True)
+            np.exp(logits, out=logits)
+            logits /= logits.sum(axis=1, keepdims=True)
+            yield doc[s][which], spot, logits
+        i = j
 
 
 def pooled(net: Network, column: pa.Array) -> np.ndarray:

@@ -1,7 +1,8 @@
 """Words and shingles of texts as 64-bit hashes, for whole Arrow columns at once.
 
 A word is a run of ASCII letters, digits and bytes above 127; ASCII letters count
-as lower case. Hashes depend on the word's bytes alone.
+as lower case. A script without spaces has long words, so that near copies in it
+are found by their ASCII parts alone. Hashes depend on the word's bytes alone.
 """
 
 from __future__ import annotations
@@ -73,32 +74,59 @@ def pieces(starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def words(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Row range, row of each word in it (from 0) and the words' hashes, in order, piece by piece."""
+    """Row range, row of each word in it (from 0) and the words' hashes, in order, piece by piece.
+
+    A longer text than ``PIECE`` is hashed in parts that end between words, so that
+    its temporaries stay small.
+    """
     buf, starts, ends = text_bytes(column)
-    kind, value = _tables()
     for i, j in pieces(starts, ends):
         full = np.flatnonzero(ends[i:j] > starts[i:j])
         if not len(full):
             yield i, j, np.zeros(0, np.int64), np.zeros(0, np.uint64)
             continue
         s, e = starts[i:j][full], ends[i:j][full]
+        if len(full) == 1 and e[0] - s[0] > 2 * PIECE:
+            h = np.concatenate([_hashes(buf[lo:hi], np.zeros(1, np.int64))[1] for lo, hi in _parts(buf, int(s[0]), int(e[0]))])
+            yield i, j, np.full(len(h), full[0]), h
+            continue
         lo, hi = int(s[0]), int(e[-1])
-        b = buf[lo:hi]
-        w = kind[b]
-        edge = np.zeros(hi - lo + 1, bool)
-        edge[s - lo] = True
-        before = np.concatenate([[False], w[:-1]])
-        begin = np.flatnonzero(w & (~before | edge[:-1]))
-        after = np.concatenate([w[1:], [False]])
-        end = np.flatnonzero(w & (~after | edge[1:])) + 1
-        power, inverse = _powers(hi - lo)
-        total = np.empty(hi - lo + 1, np.uint64)
-        total[0] = 0
-        np.cumsum(value[b] * power[: hi - lo], out=total[1:])
-        h = mix64((total[end] - total[begin]) * inverse[begin])
+        begin, h = _hashes(buf[lo:hi], s - lo)
         yield i, j, full[np.searchsorted(s - lo, begin, side="right") - 1], h
 
 
+def _parts(buf: np.ndarray, lo: int, hi: int) -> Iterator[tuple[int, int]]:
+    """Ranges of about ``PIECE`` bytes that cut no word."""
+    kind = _tables()[0]
+    while lo < hi:
+        cut = min(lo + PIECE, hi)
+        while cut < hi:
+            gap = np.flatnonzero(~kind[buf[cut : min(cut + PIECE, hi)]])
+            if len(gap):
+                cut += int(gap[0])
+                break
+            cut = min(cut + PIECE, hi)
+        yield lo, cut
+        lo = cut
+
+
+def _hashes(b: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and hash of each word in ``b``, in which texts start at ``s``."""
+    kind, value = _tables()
+    w = kind[b]
+    edge = np.zeros(len(b) + 1, bool)
+    edge[s] = True
+    before = np.concatenate([[False], w[:-1]])
+    begin = np.flatnonzero(w & (~before | edge[:-1]))
+    after = np.concatenate([w[1:], [False]])
+    end = np.flatnonzero(w & (~after | edge[1:])) + 1
+    power, inverse = _powers(len(b))
+    total = np.empty(len(b) + 1, np.uint64)
+    total[0] = 0
+    np.cumsum(value[b] * power[: len(b)], out=total[1:])
+    return begin, mix64((total[end] - total[begin]) * inverse[begin])
+
+
 def shingles(row: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Row and hash of each run of ``n`` words; a row with fewer words has one shingle of all its words."""
     if not len(h):
