@@ -473,19 +473,41 @@ def brute_nearest(rows, k):
     return sorted(out)
 
 
-def test_nearest_equals_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_nearest_equals_brute_force(spark, monkeypatch, kind):
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(8, 6)) * 4
-    rows = [(i, [float(np.float32(x)) for x in centres[i % 8] + rng.normal(size=6) * 0.1]) for i in range(300)]
+    rows = [(i, [float(np.float32(x)) if kind == "float" else float(x) for x in centres[i % 8] + rng.normal(size=6) * 0.1]) for i in range(300)]
     rows += [(900, rows[0][1]), (901, rows[0][1]), (902, None), (None, rows[1][1]), (903, [1.0]), (904, [float("nan")] * 6), (905, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (906, [])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("id", F.lit("clash")).repartition(3)
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>").withColumn("id", F.lit("clash")).repartition(3)
     monkeypatch.setattr(topk, "DIMENSIONS", 2)
-    got = sorted((r["vec_id"], r["rank"], r["neighbor_id"]) for r in topk.nearest(df, k=4).collect())
+    got = sorted((r["vec_id"], r["rank"], r["neighbor_id"]) for r in topk.nearest(df, k=4, every=1).collect())
     assert got == brute_nearest(rows, 4)
+    some = sorted((r["vec_id"], r["rank"], r["neighbor_id"]) for r in topk.nearest(df, k=4).collect())
+    assert some == [r for r in got if r[0] % 100 == 0] and len(some) == 16
     assert topk.nearest(df.limit(0)).count() == 0
     assert topk.nearest(df.where("vec_id = 0")).count() == 0
 
 
+def test_nearest_tells_doubles_apart_and_takes_whole_ids(spark):
+    near = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1 + 1e-9, 0.0]), (2, [1 + 3e-9, 0.0]), (3, [1e200, 0.0]), (4, [3e19, 0.0]), (5, [3.1e19, 0.0])], "vec_id int, embedding array<double>")
+    got = {r["vec_id"]: r["neighbor_id"] for r in topk.nearest(near, k=1, every=1).collect()}
+    assert got == {0: 1, 1: 0, 2: 1, 4: 5, 5: 4}
+    with pytest.raises(TypeError):
+        topk.nearest(near.withColumn("vec_id", F.lit("a")))
+
+
+def test_blocks_beyond_the_bound_are_skipped():
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(size=(50, 8)), rng.normal(size=(50, 8)) + 40]).astype(np.float32)
+    best = topk.Best(np.arange(50), x[:50], 3, topk._first_bounds(np.arange(50), x[:50], np.arange(100)[::2], x[::2], 3))
+    for lo in (0, 50):
+        topk.search_block(best, np.arange(lo, lo + 50), np.ascontiguousarray(x[lo : lo + 50].T))
+    d = ((x[:50, None, :].astype(np.float64) - x[None]) ** 2).sum(2)
+    np.fill_diagonal(d, np.inf)
+    assert best.skipped == 1 and (best.near.reshape(50, 3) == np.argsort(d, axis=1, kind="stable")[:, :3]).all()
+
+
 def test_branch_and_bound_compacts(monkeypatch):
     rng = np.random.default_rng(1)
     monkeypatch.setattr(topk, "SPARSE", 0.5)
