@@ -305,23 +305,31 @@ def test_words_and_shingles_equal_plain_python():
         assert np.bincount(r2, minlength=7).tolist() == [2, 0, 0, 1, 0, 1, 16]
 
 
-def brute_groups(sigs, least):
-    ids = list(sigs)
-    root = {i: i for i in ids}
+def brute_classes(sigs, least):
+    """Class and number of links of each document that has a copy, from all pairs; ``sigs`` are (id, signature)."""
+    root = {i: i for i, _ in sigs}
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for a, b in itertools.combinations(ids, 2):
-        if (sigs[a] == sigs[b]).sum() >= least:
+    links: dict = {}
+    for (a, s), (b, t) in itertools.combinations(sigs, 2):
+        if (s == t).sum() >= least:
             x, y = find(a), find(b)
             root[max(x, y)] = min(x, y)
-    return {i: find(i) for i in ids if find(i) != i}
+            if s.tobytes() != t.tobytes():
+                links.setdefault((a, s.tobytes()), set()).add(t.tobytes())
+                links.setdefault((b, t.tobytes()), set()).add(s.tobytes())
+    sizes: dict = {}
+    for i in root:
+        sizes[find(i)] = sizes.get(find(i), 0) + 1
+    return {i: (find(i), sum(len(v) for (j, _), v in links.items() if j == i)) for i in root if sizes[find(i)] > 1}
 
 
-def test_inverted_join_equals_all_pairs(spark):
+@pytest.mark.parametrize("tile", [2048, 3])
+def test_inverted_join_equals_all_pairs(spark, monkeypatch, tile):
     rng = random.Random(4)
     rows = []
     for g in range(30):
@@ -331,11 +339,13 @@ def test_inverted_join_equals_all_pairs(spark):
             for _ in range(k):
                 t[rng.randrange(len(t))] = rng.choice(WORDS)
             rows.append((len(rows), " ".join(t)))
+    rows += [(1000 + i, rows[5 * i][1]) for i in range(6)] + [(7, rows[40][1]), (3000, prose(rng, 30)), (3000, rows[0][1]), (3001, "")]
+    monkeypatch.setattr(minhash, "TILE", tile)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    sig, _ = minhash.signatures_of(pa.array([t for _, t in rows]))
-    want = brute_groups({i: sig[i] for i, _ in rows}, math.ceil(minhash.THRESHOLD * minhash.K))
-    got = {r["doc_id"]: r["kept_id"] for r in minhash.copies(df).collect()}
-    assert got == want and len(got) > 20
+    sig, has = minhash.signatures_of(pa.array([t for _, t in rows]))
+    want = brute_classes([(i, s) for (i, _), s, h in zip(rows, sig, has) if h], math.ceil(minhash.THRESHOLD * minhash.K))
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in minhash.classes(df).collect()}
+    assert got == want and len(got) > 20 and max(n for _, n in got.values()) > 3
 
 
 def test_signatures_estimate_jaccard():
@@ -348,22 +358,29 @@ def test_signatures_estimate_jaccard():
         assert abs((sig[0] == sig[1]).mean() - len(s[0] & s[1]) / len(s[0] | s[1])) < 0.2
 
 
-def test_large_group_and_skip_merge():
+def test_long_lists_count_every_pair_once(spark, monkeypatch):
     rng = np.random.default_rng(0)
-    base = rng.integers(0, 1000, 96).astype(np.uint16)
-    sig = np.tile(base, (500, 1))
-    for i in range(500):
-        sig[i, rng.integers(0, 96, 20)] = rng.integers(1000, 2000, 20)
-    pairs = minhash.join_list(sig, 45)
-    assert len(pairs) == 499 and {y for _, y in pairs} == set(range(1, 500))
+    base = rng.integers(0, 1000, 96).astype(np.uint32)
+    sig = np.tile(base, (300, 1))
+    for i in range(300):
+        sig[i, rng.integers(0, 96, 40)] = rng.integers(1000, 1100, 40)
+    want = np.array([((sig == s).sum(axis=1) >= 45).sum() - 1 for s in sig])
+    rows = spark.createDataFrame([(i, s.tobytes()) for i, s in enumerate(sig)], "node long, sig binary")
+    for tile in (2048, 100):
+        monkeypatch.setattr(minhash, "TILE", tile)
+        got = minhash.partners(rows).groupBy("node").agg(F.sum("links").alias("n"), F.count("*").alias("lists")).collect()
+        assert {r["node"]: r["n"] for r in got} == {i: n for i, n in enumerate(want) if n}
+    assert 0 < want.min() and want.max() < 299 or len(set(want.tolist())) > 3
 
 
 def test_dedup_on_awkward_input(corpus, nothing):
     kept = minhash.without_copies(corpus)
-    gone = {r["doc_id"]: r["kept_id"] for r in minhash.copies(corpus).collect()}
-    assert gone[100] == 0 and 200 not in gone and 201 not in gone and 300 not in gone and None not in gone
-    assert kept.columns == corpus.columns and kept.count() == corpus.count() - len(gone)
-    assert minhash.copies(nothing).count() == 0 and minhash.without_copies(nothing).count() == 0
+    found = {r["doc_id"]: r["class_id"] for r in minhash.classes(corpus.withColumn("gone", F.lit(1)).withColumn("class_id", F.lit(1))).collect()}
+    gone = {i for i, c in found.items() if i != c}
+    assert found[100] == found[0] == 0 and not {200, 201, 300, None} & set(found)
+    clash = minhash.without_copies(corpus.withColumn("gone", F.lit(1)).withColumn("class_id", F.lit(1)))
+    assert kept.columns == corpus.columns and kept.count() == corpus.count() - len(gone) == clash.count()
+    assert minhash.classes(nothing).count() == 0 and minhash.without_copies(nothing).count() == 0
 
 
 # 7

@@ -34,7 +34,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.copies(table(spark, sf_dir, "documents"))
+    return minhash.classes(table(spark, sf_dir, "documents"))
 
 
 def op7_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
