@@ -397,23 +397,67 @@ def toxic_docs(spark):
     return rows
 
 
+def chain_labels(toxic_docs):
+    """Quality (known for most) and toxicity."""
+    return np.array([[np.nan if i % 7 == 3 else float(not y or i % 2), y] for i, _, y in toxic_docs])
+
+
 def test_chain_is_accurate_on_held_out(toxic_docs):
-    y = np.array([r[2] for r in toxic_docs], bool)
-    texts = [r[1] for r in toxic_docs]
-    split = [[t and any(w in terms for w in x.split()) for x, t in zip(texts, y.tolist())] for terms in toxicity.KINDS.values()]
-    all_labels = np.column_stack([*[np.array(s, bool) for s in split], y])
-    chain = toxicity.fit_chain(texts[:160], all_labels[:160])
-    assert [len(link.chain) for link in chain] == [0, 1, 2]
+    texts, y = [r[1] for r in toxic_docs], chain_labels(toxic_docs)
+    chain = toxicity.fit_chain(texts[:160], y[:160])
+    assert [len(link.chain) for link in chain] == [0, 1]
     rows, buckets = toxicity.features(pa.array(texts[160:]))
     before = np.zeros((80, 0))
     for link in chain:
         before = np.column_stack([before, toxicity._apply(link, rows, buckets, before)])
-    assert ((before[:, -1] >= 0.5) == y[160:]).all()
+    assert ((before[:, -1] >= 0.5) == (y[160:, 1] > 0)).all()
+
+
+def test_chain_equals_plain_models_and_stays_out_of_fold(toxic_docs, monkeypatch):
+    texts, y = toxicity._once([r[1] for r in toxic_docs], chain_labels(toxic_docs))
+    rows, buckets = toxicity.features(pa.array(texts))
+    n, shown = len(texts), []
+    monkeypatch.setattr(toxicity, "_fit_rows", lambda r, b, y, before, train, fit=toxicity._fit_rows: (shown.append(train.copy()), fit(r, b, y, before, train))[1])
+    chain = toxicity.fit_chain(texts, y)
+    folds = np.arange(n) % toxicity.FOLDS
+    assert len(shown) == 2 + toxicity.FOLDS and (shown[0] == ~np.isnan(y[:, 0])).all() and shown[-1].all()
+    assert all(not shown[1 + f][folds == f].any() and not shown[1 + f][np.isnan(y[:, 0])].any() for f in range(toxicity.FOLDS))
+
+    def plain(chosen, y, before, train):
+        """Logistic regression over a dense matrix of words, built text by text."""
+        x = np.zeros((n, len(chosen)), np.float32)
+        for r, w in zip(rows.tolist(), buckets.tolist()):
+            if w in chosen:
+                x[r, chosen.index(w)] = 1
+        x = np.hstack([x, before.astype(np.float32)])
+        w, b = toxicity.fit_logistic(x[train], y[train], penalty=0.1)
+        return toxicity.sigmoid(x @ w + b)
+
+    def telling(y, train):
+        with_pos, total = {}, {}
+        for r, w in zip(rows.tolist(), buckets.tolist()):
+            if train[r]:
+                total[w], with_pos[w] = total.get(w, 0) + 1, with_pos.get(w, 0) + y[r]
+        pos, m, out = y[train].sum(), train.sum(), []
+        for w, k in sorted(total.items()):
+            spread = math.sqrt(k / m * (1 - k / m) * (1 / max(pos, 1) + 1 / max(m - pos, 1)))
+            if k >= toxicity.MIN_TEXTS and abs(with_pos[w] / max(pos, 1) - (k - with_pos[w]) / max(m - pos, 1)) >= toxicity.MIN_Z * max(spread, 1e-9):
+                out.append(w)
+        return out
+
+    known, every, none = ~np.isnan(y[:, 0]), np.ones(n, bool), np.zeros((n, 0))
+    held = np.zeros(n)
+    for f in range(toxicity.FOLDS):
+        train = known & (folds != f)
+        held[folds == f] = plain(telling(y[:, 0], train), y[:, 0], none, train)[folds == f]
+    assert np.allclose(held, toxicity.out_of_fold(rows, buckets, y[:, 0], none), atol=1e-4)
+    want = plain(telling(y[:, 1], every), y[:, 1], held[:, None], every)
+    assert np.allclose(want, toxicity._apply(chain[1], rows, buckets, held[:, None]), atol=1e-3)
 
 
 def test_toxicity_on_awkward_input(spark, corpus, nothing, toxic_docs):
     known = spark.createDataFrame([(r[0] + 1000, r[1]) for r in toxic_docs], "doc_id long, text string")
-    lab = labels(spark, [(r[0] + 1000, 1, r[2]) for r in toxic_docs] + [(None, 1, 1), (5, None, None)])
+    lab = labels(spark, [(r[0] + 1000, 1, r[2]) for r in toxic_docs] + [(None, 1, 1), (5, None, None), (6, None, 0), (1001, 0, 0)])
     both = known.unionByName(corpus.select("doc_id", "text")).withColumn("p_toxic", F.lit("clash"))
     got = {r["doc_id"]: r["is_toxic"] for r in toxicity.score(both, lab).collect()}
     assert not got[200] and not got[201] and not got[203] and got[1000] and not got[1001]

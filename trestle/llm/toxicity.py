@@ -4,13 +4,16 @@ The categories are predicted one after the other: each linear model sees the wor
 of a text, as hashed presence features, and the probabilities of the categories
 before it. In training those probabilities are out of fold, made by models that
 did not see the row. Words enter a model only if their link to the category is
-significant, so that a long harmless text gathers no score.
+significant, so that a long harmless text gathers no score. The categories are
+columns of the labels; the last is the one that decides.
 
 Defined results: a null or empty text has the probabilities of a text without any
 telling word and isn't toxic; texts of any length are read whole; repeated rows are
-scored each; a category with fewer than ``MIN_POSITIVE`` labelled texts gets its
-share of the labelled rows as its probability; without any labels nothing is toxic.
-Other columns are left alone.
+scored each; of labels or texts that share an id the largest label and the least
+text count; a row without the label of a category isn't shown to its model; a
+category with fewer than ``MIN_POSITIVE`` labelled texts gets its share of the
+labelled rows as its probability; without any labels nothing is toxic. Other columns
+are left alone.
 """
 
 from __future__ import annotations
@@ -32,12 +35,8 @@ from .textfeat import words
 LABELLED_ROWS = 4000
 THRESHOLD, FOLDS, MIN_POSITIVE, MIN_TEXTS, MIN_Z = 0.5, 5, 5, 4, 5.0
 BITS = 20
-#: terms that split the toxic texts into kinds; the last category is the label itself
-KINDS: dict[str, frozenset[str]] = {
-    "insult": frozenset("idiot moron loser clown stupid fool imbecile jerk dumb".split()),
-    "contempt": frozenset("trash worthless pathetic disgusting scum garbage filth vermin".split()),
-}
-CATEGORIES = [*KINDS, "toxic"]
+#: columns of the labels, in the order of the chain
+CATEGORIES = ("quality", "toxic")
 
 
 @dataclass
@@ -101,25 +100,33 @@ def _apply(link: Link, rows: np.ndarray, buckets: np.ndarray, before: np.ndarray
     return sigmoid(score)
 
 
+def out_of_fold(rows: np.ndarray, buckets: np.ndarray, y: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """The probability of each text by a model fitted without its fold; NaN in ``y`` is no label."""
+    n = len(y)
+    fold, held = np.arange(n) % FOLDS, np.zeros(n)
+    for f in range(FOLDS):
+        train = (fold != f) & ~np.isnan(y)
+        held[fold == f] = _apply(_fit_rows(rows, buckets, y, before, train), rows, buckets, before)[fold == f]
+    return held
+
+
+def _fit_rows(rows: np.ndarray, buckets: np.ndarray, y: np.ndarray, before: np.ndarray, train: np.ndarray) -> Link:
+    """A model of the texts in ``train`` alone."""
+    where, inside = np.cumsum(train) - 1, train[rows]
+    return _fit(where[rows[inside]], buckets[inside], y[train], before[train])
+
+
 def fit_chain(texts: list[str | None], labels: np.ndarray) -> list[Link]:
-    """Models for each column of ``labels``, in order; copies among the texts count once."""
+    """Models for each column of ``labels`` (1, 0 or NaN), in order; copies among the texts count once."""
     texts, labels = _once(texts, labels)
-    n = len(texts)
     rows, buckets = features(pa.array(texts, pa.string()))
-    fold = np.arange(n) % FOLDS
-    before = np.zeros((n, 0))
+    before = np.zeros((len(texts), 0))
     chain = []
     for c in range(labels.shape[1]):
         y = labels[:, c].astype(np.float64)
-        chain.append(_fit(rows, buckets, y, before))
-        held = np.zeros(n)
-        for f in range(FOLDS):
-            train = fold != f
-            where = np.cumsum(train) - 1
-            inside = train[rows]
-            link = _fit(where[rows[inside]], buckets[inside], y[train], before[train])
-            held[~train] = _apply(link, rows, buckets, before)[~train]
-        before = np.column_stack([before, held])
+        chain.append(_fit_rows(rows, buckets, y, before, ~np.isnan(y)))
+        if c + 1 < labels.shape[1]:
+            before = np.column_stack([before, out_of_fold(rows, buckets, y, before)])
     return chain
 
 
@@ -136,21 +143,19 @@ def _once(texts: list[str | None], labels: np.ndarray) -> tuple[list[str | None]
     return [texts[i] for i in keep], labels[keep]
 
 
-def labelled_chain(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = LABELLED_ROWS) -> list[Link]:
-    """Fit the chain on at most ``rows`` labelled texts, those with the least hash of their id."""
-    chosen = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"))
-    chosen = chosen.orderBy(F.xxhash64("_id"), "_id", "_y").limit(rows)
-    found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id").where("_text IS NOT NULL").select("_id", "_text", "_y").collect()
-    found.sort(key=lambda r: (r["_id"], r["_y"], r["_text"]))
-    texts = [r["_text"] for r in found[: 2 * rows]]
-    y = np.array([r["_y"] > 0 for r in found[: 2 * rows]], bool)
-    split = []
-    for terms in KINDS.values():
-        split.append([t and any(w.strip(".,;:!?\"'()") in terms for w in x.lower().split()) for x, t in zip(texts, y.tolist())])
-    return fit_chain(texts, np.column_stack([*[np.array(s, bool) for s in split], y]) if texts else np.zeros((0, len(CATEGORIES)), bool))
+def labelled_chain(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", categories: tuple[str, ...] = CATEGORIES, rows: int = LABELLED_ROWS) -> list[Link]:
+    """Fit the chain on at most ``rows`` labelled texts, those with the least hash of their id, whose last label is known."""
+    names = [f"y{c}" for c in range(len(categories))]
+    known = labels.where(F.col(categories[-1]).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(*[F.max(F.col(c).cast("int")).alias(n) for c, n in zip(categories, names)])
+    chosen = F.broadcast(known.orderBy(F.xxhash64("id"), "id").limit(rows))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where("t IS NOT NULL").join(chosen, "id", "left_semi")
+    found = texts.groupBy("id").agg(F.min("t").alias("t")).join(chosen, "id").collect()
+    found.sort(key=lambda r: r["id"])
+    y = np.array([[np.nan if r[n] is None else float(r[n] > 0) for n in names] for r in found]).reshape(len(found), len(names))
+    return fit_chain([r["t"] for r in found], y)
 
 
-def probabilities(spark: SparkSession, text: Column, chain: list[Link], names: list[str] = CATEGORIES) -> Column:
+def probabilities(spark: SparkSession, text: Column, chain: list[Link], names: tuple[str, ...] = CATEGORIES) -> Column:
     """A struct with the probability of each category; the models' size is bounded by the labelled rows."""
     model = ship(spark, chain)
 
@@ -165,7 +170,7 @@ def probabilities(spark: SparkSession, text: Column, chain: list[Link], names: l
         before = np.zeros((len(column), 0))
         for link in model():
             before = np.column_stack([before, _apply(link, rows, buckets, before)])
-        return pa.StructArray.from_arrays([pa.array(before[:, c].astype(np.float64)) for c in range(len(names))], names=names)
+        return pa.StructArray.from_arrays([pa.array(before[:, c].astype(np.float64)) for c in range(len(names))], names=list(names))
 
     return F.arrow_udf(run, T.StructType([T.StructField(n, T.DoubleType()) for n in names]))(text)
 
