@@ -481,6 +481,55 @@ def test_estimated_votes_recover_planted_rates():
     assert quality_model.estimate({})[1] == {}
 
 
+def test_votes_equal_plain_python():
+    rng = random.Random(13)
+    texts = ["".join(rng.choice("ab A\u00c4\u00e9|!#$%\u65e5\n") for _ in range(n)) for n in (1, 5, 50, 200, 1000)] + [None, "", "go go go stop stop", "x" * 700_000 + " ! " * 9000, "ÄÖÜ ÉÉ"]
+    got = quality_model.votes(pa.array(texts, pa.string()))
+    for t, v in zip(texts, got):
+        if not t:
+            assert v is None
+            continue
+        own = re.findall(r"[a-z0-9\u0080-￿]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+        share = {n: sum(c in chars for c in t) / len(t) for n, chars in quality_model.CHARACTERS.items()}
+        share["again"] = sum(a == b for a, b in zip(own, own[1:])) / max(len(own), 1)
+        share["thrice"] = sum(a == b == c for a, b, c in zip(own, own[1:], own[2:])) / max(len(own), 1)
+        sums = [sum(share[n] for n in names) for _, names, _, _ in quality_model.LABELLERS]
+        assert v == "".join("-" if m > bad else "+" if m < good else "0" for m, (_, _, bad, good) in zip(sums, quality_model.LABELLERS))
+
+
+def test_estimate_equals_plain_expectation_maximisation():
+    rng = random.Random(14)
+    counts = {"".join(rng.choice("0-+") for _ in range(3)): rng.randint(1, 90) for _ in range(12)}
+    rates, posterior = quality_model.estimate(counts, rounds=7)
+    good = {p: 0.03 if "-" in p else 0.97 for p in counts}
+    for _ in range(7):
+        mass = [sum(n * (1 - good[p]) for p, n in counts.items()), sum(n * good[p] for p, n in counts.items())]
+        rate = {}
+        for j, (v, c) in itertools.product(range(3), itertools.product("-+0", (0, 1))):
+            cast = sum(n * (good[p] if c else 1 - good[p]) for p, n in counts.items() if p[j] == v)
+            rate[j, v, c] = (cast + 1) / (mass[c] + 3)
+            if v == "-" and c == 1:
+                rate[j, v, c] = min(rate[j, v, c], quality_model.FALSE_ALARMS)
+        for p in counts:
+            odds = (mass[1] + 1) / (mass[0] + 1) * math.prod(rate[j, v, 1] / rate[j, v, 0] for j, v in enumerate(p))
+            good[p] = odds / (1 + odds)
+    assert all(abs(posterior[p] - good[p]) < 1e-9 for p in counts)
+    assert all(abs(rates[j, "-+0".index(v), c] - r) < 1e-9 for (j, v, c), r in rate.items())
+
+
+def test_scores_equal_plain_sums():
+    texts = ["abc abc abd", "", None, "ab", "é|é|é|é", "the end of the end"] * 3
+    w, mean, b = quality_model.fit_scorer([t for t in texts if t] * 4, np.tile([1.0, 0.0, 1.0, 0.0], 12))
+    got = quality_model.scores(pa.array(texts, pa.string()), w, mean, b)
+    for t, s in zip(texts, got):
+        raw = (t or "").encode()
+        grams = [int(quality_model._buckets(np.frombuffer(raw[i : i + 3], np.uint8))[0]) for i in range(len(raw) - 2)]
+        own = (t or "").split()
+        again = sum(x == y for x, y in zip(own, own[1:])) / max(len(own), 1) if "|" not in (t or "") else 3 / 4
+        x = sum(w[g] for g in grams) / max(len(grams), 1) + w[-1] * again - mean
+        assert abs(s - (1 / (1 + math.exp(-(x * len(raw) / (len(raw) + 100) + b))) if raw else 0)) < 1e-5
+
+
 def test_quality_scores_held_out_and_awkward(spark, corpus, nothing):
     rng = random.Random(7)
     rows = []

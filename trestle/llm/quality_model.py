@@ -4,7 +4,8 @@ Overlapping heuristic labellers vote good, bad or nothing on every document. The
 votes of the whole corpus are counted by pattern, and expectation-maximisation over
 those counts estimates how often each labeller's votes are right and wrong. The posterior labels of a bounded
 sample, which has every pattern by its share and once at least, then train a linear scorer over hashed byte
-trigrams, which scores every document.
+trigrams, which scores every document. Votes are cast on whole Arrow columns, from counts of bytes and
+the hashes of words.
 
 Defined results: a null or empty text has score 0 and isn't kept; texts of any
 length are read whole; repeated rows are scored each; without any text to learn
@@ -27,52 +28,71 @@ from .textfeat import pieces, words
 TRAINING_ROWS = 3000
 THRESHOLD, BITS = 0.5, 12
 FALSE_ALARMS = 0.01
-_CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZÄÖÜÀÂÇÈÉÊÎÔÛÑÁÍÓÚ"
-_SPACE = "1 + length({t}) - length(translate({t}, ' \n\t', ''))"
-
-
-def _share(characters: str) -> str:
-    return f"(length({{t}}) - length(translate({{t}}, '{characters}', ''))) / length({{t}})"
-
-
-_JUNK = "#$%&*<>=~^@"
-_REPEATS = "transform(array(split({t}, ' ')), w -> size(filter(w, (x, i) -> WHEN)) / size(w))[0]"
-#: name, measure of a text, and the conditions on the measure ``m`` for a bad and for a good vote ("" for never)
-LABELLERS: list[tuple[str, str, str, str]] = [
-    ("symbols", _share(_JUNK), "m > 0.03", ""),
-    ("bars", _share("|"), "m > 0.02", ""),
-    ("exclamations", _share("!"), "m > 0.03", ""),
-    ("capitals", _share(_CAPITALS), "m > 0.25", ""),
-    ("plain", _share(_JUNK + "|!"), "m > 0.02", "m < 0.005"),
-    ("stutter", _REPEATS.replace("WHEN", "i > 0 AND x = get(w, i - 1)"), "m > 0.15", ""),
-    ("runs", _REPEATS.replace("WHEN", "i > 1 AND x = get(w, i - 1) AND x = get(w, i - 2)"), "m > 0.1", ""),
+#: characters whose share a measure is
+CHARACTERS = {"junk": "#$%&*<>=~^@", "bars": "|", "exclamations": "!", "capitals": "ABCDEFGHIJKLMNOPQRSTUVWXYZÄÖÜÀÂÇÈÉÊÎÔÛÑÁÍÓÚ"}
+#: name, measures of a text that are added up, and from what sum a vote is bad and up to what sum it is good
+LABELLERS: list[tuple[str, tuple[str, ...], float, float]] = [
+    ("symbols", ("junk",), 0.03, 0.0),
+    ("bars", ("bars",), 0.02, 0.0),
+    ("exclamations", ("exclamations",), 0.03, 0.0),
+    ("capitals", ("capitals",), 0.25, 0.0),
+    ("plain", ("junk", "bars", "exclamations"), 0.02, 0.005),
+    ("stutter", ("again",), 0.15, 0.0),
+    ("runs", ("thrice",), 0.1, 0.0),
 ]
 
 
-def votes(text_col: str, labellers=LABELLERS) -> Column:
-    """Votes of all labellers on a text as a string of ``+``, ``-`` and ``0``; null for a text without characters."""
-    each = []
-    for _, measure, bad, good in labellers:
-        m = F.expr(measure.replace("{t}", f"`{text_col}`"))
-        each.append(F.transform(F.array(m), _vote(bad, good))[0])
-    return F.when(F.length(text_col) > 0, F.concat(*each))
+def _counts(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, characters: str) -> np.ndarray:
+    """How many of ``characters`` (one or two bytes each) every text has."""
+    one = np.zeros(256, bool)
+    two: dict[int, np.ndarray] = {}
+    for c in characters:
+        raw = c.encode()
+        if len(raw) == 1:
+            one[raw[0]] = True
+        else:
+            two.setdefault(raw[0], np.zeros(256, bool))[raw[1]] = True
+    hit = one[buf]
+    for lead, follow in two.items():
+        at = np.flatnonzero(buf[:-1] == lead)
+        hit[at] |= follow[buf[at + 1]]
+    total = np.concatenate([[0], np.cumsum(hit)])
+    return total[ends] - total[starts]
+
+
+def measures(column: pa.Array) -> dict[str, np.ndarray]:
+    """For each text the shares of :data:`CHARACTERS`, and of words that repeat the one (``again``) or the two (``thrice``) before them."""
+    buf, starts, ends = text_bytes(column)
+    out = {name: np.zeros(len(column)) for name in CHARACTERS}
+    for i, j in pieces(starts, ends):
+        s, e = starts[i:j], ends[i:j]
+        if not (e > s).any():
+            continue
+        lo, hi = int(s[e > s].min()), int(e.max())
+        b, s, e = buf[lo:hi], np.maximum(s - lo, 0), np.maximum(e - lo, 0)
+        size = np.concatenate([[0], np.cumsum((b & 0xC0) != 0x80)])
+        length = np.maximum(size[e] - size[s], 1)
+        for name, characters in CHARACTERS.items():
+            out[name][i:j] = _counts(b, s, e, characters) / length
+    out["again"], out["thrice"] = _repeats(column)
+    return out
 
 
-def _vote(bad: str, good: str):
-    """The vote on a measure, as a function so that the measure is taken once."""
-    return lambda m: F.when(_on(bad, m), "-").when(_on(good, m), "+").otherwise("0")
+def votes(column: pa.Array) -> list[str | None]:
+    """Votes of all labellers on each text as a string of ``+``, ``-`` and ``0``; null for a text without characters."""
+    m = measures(column)
+    _, starts, ends = text_bytes(column)
+    each = []
+    for _, names, bad, good in LABELLERS:
+        total = sum(m[n] for n in names)
+        each.append(np.where(total > bad, "-", np.where(total < good, "+", "0")))
+    cast = ["".join(v) for v in zip(*(e.tolist() for e in each))]
+    return [v if e > s else None for v, s, e in zip(cast, starts.tolist(), ends.tolist())]
 
 
-def _on(condition: str, m: Column) -> Column:
-    """A condition like ``m > 0.1 AND m < 0.3`` on a column."""
-    for word, join in ((" OR ", lambda a, b: a | b), (" AND ", lambda a, b: a & b)):
-        if word in condition:
-            left, _, right = condition.partition(word)
-            return join(_on(left, m), _on(right, m))
-    if not condition:
-        return F.lit(False)
-    _, sign, value = condition.split()
-    return {">": m > float(value), "<": m < float(value), "=": m == float(value)}[sign]
+def pattern(text_col: str) -> Column:
+    """:func:`votes` of a column."""
+    return F.arrow_udf(lambda column: pa.array(votes(column), pa.string()), T.StringType())(F.col(text_col))
 
 
 def estimate(counts: dict[str, int], rounds: int = 100) -> tuple[np.ndarray, dict[str, float]]:
@@ -110,14 +130,16 @@ def _buckets(b: np.ndarray) -> np.ndarray:
     return (((x[:-2] << np.uint32(16)) | (x[1:-1] << np.uint32(8)) | x[2:]) * np.uint32(2654435761) >> np.uint32(32 - BITS)).astype(np.int64)
 
 
-def _repeats(column: pa.Array) -> np.ndarray:
-    """Share of words that repeat the word before them, for each text."""
-    again, total = np.zeros(len(column)), np.zeros(len(column))
+def _repeats(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Share of words that repeat the word before them, and of those that repeat the two words before them, for each text."""
+    again, thrice, total = np.zeros(len(column)), np.zeros(len(column)), np.zeros(len(column))
     for i, j, row, h in words(column):
         total[i:j] = np.bincount(row, minlength=j - i)
         same = (h[1:] == h[:-1]) & (row[1:] == row[:-1])
         again[i:j] = np.bincount(row[1:][same], minlength=j - i)
-    return again / np.maximum(total, 1)
+        thrice[i:j] = np.bincount(row[2:][same[1:] & same[:-1]], minlength=j - i)
+    total = np.maximum(total, 1)
+    return again / total, thrice / total
 
 
 def _frequencies(column: pa.Array) -> np.ndarray:
@@ -127,7 +149,7 @@ def _frequencies(column: pa.Array) -> np.ndarray:
     for r, (s, e) in enumerate(zip(starts.tolist(), ends.tolist())):
         if e - s > 2:
             out[r, :-1] = np.bincount(_buckets(buf[s:e]), minlength=1 << BITS) / (e - s - 2)
-    out[:, -1] = _repeats(column)
+    out[:, -1] = _repeats(column)[0]
     return out
 
 
@@ -162,7 +184,7 @@ def scores(column: pa.Array, w: np.ndarray, mean: float, b: float) -> np.ndarray
         lo, hi = int(starts[at[0]]), int(ends[at[-1]])
         mass = np.concatenate([[0.0], np.cumsum(w[_buckets(buf[lo:hi])], dtype=np.float64)])
         total[at] = (mass[ends[at] - lo - 2] - mass[starts[at] - lo]) / (ends[at] - starts[at] - 2)
-    out = sigmoid((total + w[-1] * _repeats(column) - mean) * _trust(ends - starts) + b)
+    out = sigmoid((total + w[-1] * _repeats(column)[0] - mean) * _trust(ends - starts) + b)
     out[ends == starts] = 0.0
     return out
 
@@ -176,7 +198,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
         spare = max(rows - len(counts), 0) / max(sum(counts.values()), 1)
         return {p: 1 + int(spare * n) for p, n in counts.items()}
 
-    sample = spread_sample(docs, text_col, votes(text_col), quotas)  # three to the power of the labellers patterns at most
+    sample = spread_sample(docs, text_col, pattern(text_col), quotas)  # three to the power of the labellers patterns at most
     model = ship(docs.sparkSession, fit_scorer([t for t, _ in sample], np.array([posterior[p] for _, p in sample])))
 
     def run(column: pa.Array) -> pa.Array:
