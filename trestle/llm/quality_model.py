@@ -28,6 +28,8 @@ from .textfeat import pieces, words
 TRAINING_ROWS = 3000
 THRESHOLD, BITS = 0.5, 12
 FALSE_ALARMS = 0.01
+#: how much more than a trigram the share of repeated words counts before it is fitted
+REPEATS_WEIGH = 5.0
 #: characters whose share a measure is
 CHARACTERS = {"junk": "#$%&*<>=~^@", "bars": "|", "exclamations": "!", "capitals": "ABCDEFGHIJKLMNOPQRSTUVWXYZÄÖÜÀÂÇÈÉÊÎÔÛÑÁÍÓÚ"}
 #: name, measures of a text that are added up, and from what sum a vote is bad and up to what sum it is good
@@ -164,6 +166,7 @@ def fit_scorer(texts: list[str], good: np.ndarray) -> tuple[np.ndarray, float, f
         return np.zeros((1 << BITS) + 1, np.float32), 0.0, 0.0
     x = _frequencies(pa.array(texts, pa.large_string()))
     scale = 1 / (x.std(axis=0) + 1e-4)
+    scale[-1] *= REPEATS_WEIGH
     mean = x.mean(axis=0)
     x -= mean
     x *= scale
