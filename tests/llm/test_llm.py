@@ -171,8 +171,20 @@ def test_archive_round_trip_and_revisits(spark, tmp_path):
             assert hashlib.sha256(r["payload"].encode()).hexdigest() == r["digest"]
     ids = {r["record_id"] for r in back if r["type"] == "response"}
     assert all(r["refers_to"] in ids for r in back if r["type"] == "revisit")
-    raw = b"".join(gzip.open(f).read() for f in (tmp_path / "w").glob("part*.gz"))
-    assert raw.count(b"WARC-Type: ") == 7
+    files = list((tmp_path / "w").glob("*.warc.gz"))
+    raw = [gzip.open(f).read() for f in files]
+    assert sum(r.count(b"WARC-Type: ") - r.count(b"WARC-Type: warcinfo") for r in raw) == 7 and all(r.startswith(b"WARC/1.1\r\nWARC-Type: warcinfo") for r in raw)
+    import zlib
+
+    for f, whole in zip(files, raw):
+        data, members = f.read_bytes(), []
+        while data:  # a member of gzip for each record
+            d = zlib.decompressobj(31)
+            members.append(d.decompress(data))
+            data = d.unused_data
+        assert all(m.startswith(b"WARC/1.1\r\n") and m.endswith(b"\r\n\r\n") for m in members) and len(members) == whole.count(b"WARC-Type: ")
+    assert not list((tmp_path / "w").glob("_part*"))
+    assert re.search(rb"WARC-Date: 20[2-9]\d-\d\d-\d\dT[\d:]{8}Z", raw[0])
 
 
 def test_revisits_without_payload_are_joined(spark):
@@ -181,6 +193,21 @@ def test_revisits_without_payload_are_joined(spark):
     assert got == {1: ("response", None), 2: ("revisit", 1), 3: ("revisit", None)}
 
 
+def test_revisits_equal_sql(spark):
+    import duckdb
+
+    rng = random.Random(15)
+    rows = [(rng.choice([None, *range(60)]), rng.choice(["response", "response", "revisit"]), rng.choice("uvw"), f"d{rng.randrange(25)}", None) for _ in range(200)]
+    got = [tuple(r) for r in warc.resolve(spark.createDataFrame(rows, "id long, kind string, uri string, digest string, payload string")).select("id", "uri", "digest", "kind", "refers_to", "refers_uri").collect()]
+    with duckdb.connect() as db:
+        db.execute("CREATE TABLE r (id BIGINT, kind VARCHAR, uri VARCHAR, digest VARCHAR, payload VARCHAR)")
+        db.executemany("INSERT INTO r VALUES (?, ?, ?, ?, ?)", rows)
+        want = db.execute("""WITH o AS (SELECT digest, min((id, uri)) AS f FROM r WHERE kind = 'response' AND id IS NOT NULL GROUP BY digest),
+x AS (SELECT r.*, f, kind = 'revisit' OR coalesce(id <> f[1], false) AS again FROM r LEFT JOIN o ON r.digest = o.digest)
+SELECT id, uri, digest, CASE WHEN again THEN 'revisit' ELSE 'response' END, CASE WHEN again THEN f[1] END, CASE WHEN again THEN f[2] END FROM x""").fetchall()
+    assert sorted(got, key=str) == sorted(want, key=str) and sum(r[3] == "revisit" for r in got) > 50
+
+
 def test_null_ids_leave_the_rest_of_their_digest_deduplicated(spark, tmp_path):
     import duckdb
 
@@ -222,6 +249,9 @@ def test_mix_equals_brute_force(spark, corpus, nothing):
     rows = [(i, prose(rng, rng.randint(1, 40)), "s0" if i < 150 else f"s{i % 3}" if i % 7 else None) for i in range(260)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = sorted((r["doc_id"], r["_copy"]) for r in mixing.mix(df, max_repeats=3.0).collect())
+    even = {r["source"]: r["n"] for r in mixing.mix(df, max_repeats=None, target_entropy=0.999).groupBy("source").agg(F.sum(mixing.token_estimate("text")).alias("n")).collect()}
+    shares = [n / sum(even.values()) for n in even.values()]
+    assert -sum(p * math.log(p) for p in shares) >= 0.99 * math.log(len(shares)) and len(shares) == 4
     tokens = {r[0]: (len(r[1].encode()) + 3) // 4 for r in rows}
     sums: dict = {}
     for i, _, s in rows:
@@ -237,6 +267,13 @@ def test_mix_equals_brute_force(spark, corpus, nothing):
     assert got == sorted(want) and len(got) > len(rows)
     mixed = mixing.mix(corpus)
     assert mixed.where("_copy = 0").count() == corpus.count() and mixing.mix(nothing).count() == 0
+    clash = df
+    for name in ("_copy", "_key", "_full", "mix_key", "mix_full", "mix_until", "mix_copy", "tokens", "block"):
+        clash = clash.withColumn(name, F.lit("clash"))
+    again = mixing.mix(clash, max_repeats=3.0, copy_col=None)
+    assert again.columns == clash.columns and again.count() == len(got) and again.where("_copy <> 'clash' OR mix_copy <> 'clash'").isEmpty()
+    with pytest.raises(ValueError):
+        mixing.mix(clash)
     assert set(mixing.mix(df, budget=500).columns) == {"doc_id", "text", "source", "_copy"} and mixing.mix(df, budget=500).count() < 260
 
 

@@ -4,11 +4,13 @@ Source token shares are raised to an exponent, which is bisected to meet a targe
 entropy or a limit on repetition; every source then gets a budget of tokens, spent
 on whole passes over its documents and one partial pass in the order of a hash:
 blocks of the permutation are summed first, and only the block in which a budget
-ends is looked at document by document. No text is shuffled.
+ends is looked at document by document. Texts are read once for their lengths and
+once to be repeated; none is shuffled.
 
 Defined results: a null source is a source of its own; a document without text
 costs nothing; a source without tokens passes once; rows with the same id stand at
-the same place of the permutation and share their fate; an empty table stays empty.
+the same place of the permutation and share their fate; an empty table stays empty;
+other columns are left alone, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import discard, fresh, materialise
+
 #: passes over the most repeated source for each pass over the least repeated
 MAX_REPEATS = 1.5
 SEED = "mix-1"
@@ -70,15 +74,17 @@ def solve_exponent(tokens: list[int], max_repeats: float | None = None, target_e
     return max(least, _bisect(lambda a: entropy(a) >= target_entropy * math.log(len(sizes)), False))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_repeats: float | None = MAX_REPEATS, target_entropy: float | None = None, budget: int | None = None, seed: str = SEED) -> DataFrame:
-    """``docs`` with every row as often as its source's weight asks, and the number of the copy as ``_copy``.
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_repeats: float | None = MAX_REPEATS, target_entropy: float | None = None, budget: int | None = None, seed: str = SEED, copy_col: str | None = "_copy") -> DataFrame:
+    """``docs`` with every row as often as its source's weight asks, and the number of the copy as ``copy_col`` (None for none).
 
     Without ``budget`` (in tokens) it is the least at which no document is left out.
     One row for each source reaches the driver.
     """
     key = F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit(""))
     place = F.md5(F.concat(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    narrow = docs.select(key.alias("key"), place.alias("place"), token_estimate(text_col).alias("tokens"))
+    if copy_col in docs.columns:
+        raise ValueError(f"the documents have a column {copy_col} already")
+    narrow = materialise(docs.select(key.alias("key"), place.alias("place"), token_estimate(text_col).alias("tokens")))
     blocks = narrow.groupBy("key", F.substring("place", 1, _HEX).alias("block")).agg(F.sum("tokens").alias("tokens"))
     sums = {r["key"]: r["tokens"] for r in blocks.groupBy("key").agg(F.sum("tokens").alias("tokens")).collect()}
     full, rest = _passes(sums, max_repeats, target_entropy, budget)
@@ -96,12 +102,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
             running = F.col("before") + F.sum("tokens").over(Window.partitionBy("key").orderBy("place").rangeBetween(Window.unboundedPreceding, 0))
             fit = inside.withColumn("until", running).where("until <= rest").groupBy("key").agg(F.max("place").alias("place")).collect()
             cut = {r["key"]: r["block"] for r in ends} | {r["key"]: r["place"] for r in fit}
-    if not sums:
-        return docs.withColumn("_copy", F.lit(0)).limit(0)
-    table = _per_source(docs.sparkSession, [(k, full[k], cut.get(k, "g" if k in partial else "")) for k in sums], "_key string, _full int, _until string")
-    out = docs.join(table, key == F.col("_key"))
-    times = F.col("_full") + (place <= F.col("_until")).cast("int")
-    return out.withColumn("_copy", F.explode(_copies(times))).drop("_key", "_full", "_until")
+    discard(narrow)
+    own, whole, until, nth = (fresh(docs, n) for n in ("mix_key", "mix_full", "mix_until", "mix_copy"))
+    table = _per_source(docs.sparkSession, [(k, full[k], cut.get(k, "g" if k in partial else "")) for k in sums], f"{own} string, {whole} int, {until} string")
+    out = docs.join(table, key == F.col(own))
+    times = F.col(whole) + (place <= F.col(until)).cast("int")
+    out = out.withColumn(nth, F.explode(_copies(times)))
+    return out.select(*docs.columns, *([F.col(nth).alias(copy_col)] if copy_col else []))
 
 
 def _copies(times: Column) -> Column:
