@@ -597,11 +597,35 @@ def test_chunked_encoding_is_exact(ranks):
         b = np.frombuffer(t.encode(), np.uint8)
         assert machine.encode(b).tolist() == machine.plain(t)
     assert machine.reused > 10
+    kana = "これは日本語の文章です。句読点、そして改行なし。東京！大阪？"
+    no_spaces = ["".join(rng.choice(kana) for _ in range(6000)), kana * 300, "龦。䷀。。、、あ。" * 500]
+    seen = machine.encoded
+    for t in no_spaces:
+        assert machine.encode(np.frombuffer(t.encode(), np.uint8)).tolist() == machine.plain(t)
+    assert len(bpe.anchors(np.frombuffer(no_spaces[0].encode(), np.uint8))) > 300 and machine.encoded > seen
+    with pytest.raises(ValueError):
+        bpe.Encoder(ranks, pattern=r"\S+|\s+")
     small = bpe.Encoder(ranks, kept_bytes=5000)
     assert all(small.encode(np.frombuffer(t.encode(), np.uint8)).tolist() == small.plain(t) for t in texts)
     assert sum(map(len, small.kept)) <= 5000
 
 
+def test_joins_widen_until_they_agree(ranks):
+    machine = bpe.Encoder(ranks)
+    rng = random.Random(16)
+    text = prose(rng, 400)
+    raw, half = text.encode(), len(text) // 2
+    left, right = (0, *machine.chunk(raw[:half])), (half, *machine.chunk(raw[half:]))
+    keep, new, gone = machine.join(raw, left, right)
+    assert [*left[1][:keep], *new, *right[1][gone:]] == machine.plain(text) and machine.widened == 0
+    # a left chunk that is wrong about its last words: the stretch grows until the tokens agree
+    spoiled = left[1].copy()
+    spoiled[-40:] = 0
+    keep, new, gone = machine.join(raw, (0, spoiled, *left[2:]), right)
+    assert machine.widened > 3 and [*spoiled[:keep], *new, *right[1][gone:]] == machine.plain(text)
+    assert machine.join(raw, (0, np.zeros_like(spoiled), *left[2:]), right) is None
+
+
 def test_encoding_round_trip_on_awkward_input(spark, corpus, nothing, ranks):
     got = {r["doc_id"]: r for r in bpe.encode_documents(corpus).collect()}
     assert all(r["exact"] for r in got.values()) and got[200]["tokens"] is None and list(got[201]["tokens"]) == []

@@ -3,12 +3,15 @@
 A rolling hash cuts every text where its content says so; a chunk that documents
 share is encoded once and its tokens are used again. Then each join of two chunks
 is repaired: the bytes around it are encoded anew, from an anchor in the left chunk
-to one in the right, wider and wider until both anchors agree with token borders
-of the chunks. The result is exactly that of encoding the text in one piece.
+to one in the right. The tokens up to the left chunk's next anchor and those from
+the right chunk's anchor before must be the very tokens of the chunks; until they
+agree, the stretch grows by an anchor on either side, up to both whole chunks. The
+result is exactly that of encoding the text in one piece.
 
-An anchor is a place between a visible ASCII character and an ASCII space: the
-splitting pattern of the vocabularies used here never joins the two, looks ahead
-only across white space and never back, so a text may be cut there.
+An anchor is a place between a visible ASCII character and a space or line end, or
+between a Han character or kana and one of ``、。，！？``. The splitting pattern
+joins neither, looks ahead only across white space and never back, so a text may be
+cut there. Another pattern than :data:`PATTERN` is an error.
 
 Chunks are kept in each worker process, ``KEPT_BYTES`` of them; what is kept
 changes the time, never the result.
@@ -36,7 +39,7 @@ WINDOW_STEPS, MASK, LEAST_CHUNK, KEPT_BYTES = 4, 0xFFC00000, 256, 32 << 20
 
 
 def vocabulary_path() -> str:
-    """The byte-level vocabulary that is installed beside Python."""
+    """The byte-level vocabulary of the package ``public_tokenizers``; where that isn't installed, give :func:`encode_documents` a path."""
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -54,13 +57,15 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN, kept_bytes: int = KEPT_BYTES):
         import tiktoken
 
+        if pattern != PATTERN:
+            raise ValueError("anchors are known for the pattern of this module alone")
         self.plain = tiktoken.Encoding("trestle", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.size = np.zeros(max(ranks.values(), default=0) + 1, np.int64)
         for token, rank in ranks.items():
             self.size[rank] = len(token)
         self.kept: dict[bytes, tuple] = {}
         self.kept_bytes, self.room = kept_bytes, kept_bytes
-        self.reused = self.encoded = 0
+        self.reused = self.encoded = self.widened = 0
         rng = np.random.default_rng(9)
         self.gear = rng.integers(0, 2**32, 256, dtype=np.uint32)
 
@@ -87,48 +92,97 @@ class Encoder:
             out.append(at)
 
     def chunk(self, raw: bytes) -> tuple:
-        """Tokens, first anchor and the tokens before it, last anchor and the tokens before it (-1 without one)."""
+        """Tokens, anchors, and the number of tokens before each anchor."""
         have = self.kept.pop(raw, None)
         if have is None:
             tokens = np.array(self.plain(raw.decode()), np.int32)
             border = np.concatenate([[0], np.cumsum(self.size[tokens])])
-            b = np.frombuffer(raw, np.uint8)
-            anchors = np.flatnonzero(((b[1:] == 32) | (b[1:] == 10)) & (b[:-1] > 32) & (b[:-1] < 127)) + 1
-            place = np.searchsorted(border, anchors)
-            anchors, place = anchors[border[place] == anchors], place[border[place] == anchors]
-            have = (tokens, int(anchors[0]), int(place[0]), int(anchors[-1]), int(place[-1])) if len(anchors) else (tokens, -1, 0, -1, 0)
+            found = anchors(np.frombuffer(raw, np.uint8))
+            place = np.searchsorted(border, found)
+            agreed = border[place] == found
+            have = (tokens, found[agreed].astype(np.int32), place[agreed].astype(np.int32))
             self.encoded += 1
-            self.room -= 5 * len(raw) + 200
+            self.room -= _kept_size(raw)
             while self.room < 0 and self.kept:
                 old = next(iter(self.kept))
                 self.kept.pop(old)
-                self.room += 5 * len(old) + 200
+                self.room += _kept_size(old)
         else:
             self.reused += 1
         self.kept[raw] = have
         return have
 
+    def join(self, raw: bytes, left: tuple, right: tuple) -> tuple[int, np.ndarray, int] | None:
+        """Tokens between the two chunks ``(start, tokens, anchors, places)``: how many of the left one's stay, the new ones, and how many of the right one's go.
+
+        None where no stretch with an anchor at either end agrees.
+        """
+        (l_start, l_tokens, l_at, l_place), (r_start, r_tokens, r_at, r_place) = left, right
+        for k in range(1, max(len(l_at), len(r_at))):
+            # one anchor more than is needed on either side, whose tokens must come out again
+            a, b = max(len(l_at) - 1 - k, 0), min(k, len(r_at) - 1)
+            if b < 1 or len(l_at) < 2:
+                break
+            new = np.array(self.plain(raw[l_start + l_at[a] : r_start + r_at[b]].decode()), np.int32)
+            before, after = l_tokens[l_place[a] : l_place[a + 1]], r_tokens[r_place[b - 1] : r_place[b]]
+            if len(new) >= len(before) + len(after) and (new[: len(before)] == before).all() and (new[len(new) - len(after) :] == after).all():
+                return int(l_place[a]), new, int(r_place[b])
+            self.widened += 1
+        return None
+
     def encode(self, b: np.ndarray) -> np.ndarray:
         """Tokens of one text."""
         raw = b.tobytes()
         cuts = self.cuts(b)
         if len(cuts) == 1:
             return self.chunk(raw)[0] if raw else np.zeros(0, np.int32)
-        parts, agreed, start = [], 0, 0  # bytes up to ``agreed`` are encoded for good
-        for k, end in enumerate(cuts):
-            tokens, first, before_first, last, before_last = self.chunk(raw[start:end])
-            final = k == len(cuts) - 1
-            if first >= 0 or k == 0 and final:
-                left = 0
-                if k:
-                    parts.append(np.array(self.plain(raw[agreed : start + first].decode()), np.int32))
-                    left = before_first
-                parts.append(tokens[left:] if final else tokens[left:before_last])
-                agreed = end if final else start + last
+        parts: list[np.ndarray] = []
+        start = 0
+        held = None  # the chunk, or stretch of chunks encoded as one, that the next is joined to; and how many of its tokens are gone
+        for end in cuts:
+            piece = (start, *self.chunk(raw[start:end]))
+            if held is None:
+                held, gone = piece, 0
+            else:
+                joined = self.join(raw, held, piece)
+                if joined and joined[0] >= gone:
+                    parts += [held[1][gone : joined[0]], joined[1]]
+                    held, gone = piece, joined[2]
+                else:  # no agreement: both are encoded as one, from the last place that is settled
+                    begin = held[0] + int(self.size[held[1][:gone]].sum())
+                    held, gone = (begin, *self._whole(raw[begin:end])), 0
             start = end
-        if agreed < len(raw):
-            parts.append(np.array(self.plain(raw[agreed:].decode()), np.int32))
-        return np.concatenate(parts)
+        return np.concatenate([*parts, held[1][gone:]])
+
+    def _whole(self, raw: bytes) -> tuple:
+        """:meth:`chunk` without keeping it."""
+        tokens = np.array(self.plain(raw.decode()), np.int32)
+        border = np.concatenate([[0], np.cumsum(self.size[tokens])])
+        found = anchors(np.frombuffer(raw, np.uint8))
+        place = np.searchsorted(border, found)
+        agreed = border[place] == found
+        return tokens, found[agreed].astype(np.int32), place[agreed].astype(np.int32)
+
+
+def _kept_size(raw: bytes) -> int:
+    return 8 * len(raw) + 300
+
+
+def anchors(b: np.ndarray) -> np.ndarray:
+    """Places where the bytes of a text may be cut."""
+    plain = np.flatnonzero(((b[1:] == 32) | (b[1:] == 10)) & (b[:-1] > 32) & (b[:-1] < 127)) + 1
+    if len(b) < 6 or not (b >= 0xE3).any():
+        return plain
+    lead = np.flatnonzero((b[3:-2] == 0xE3) | (b[3:-2] == 0xEF)) + 3
+    code = (b[lead].astype(np.int32) << 16) | (b[lead + 1].astype(np.int32) << 8) | b[lead + 2]
+    lead = lead[np.isin(code, _STOPS)]
+    x, y, z = (b[lead - k].astype(np.int32) for k in (3, 2, 1))
+    letter = (x & 0x0F) << 12 | (y & 0x3F) << 6 | z & 0x3F
+    ok = (x >= 0xE3) & (x <= 0xE9) & (((letter >= 0x4E00) & (letter <= 0x9FA5)) | ((letter >= 0x3041) & (letter <= 0x3096)) | ((letter >= 0x30A1) & (letter <= 0x30FA)))
+    return np.sort(np.concatenate([plain, lead[ok]]))
+
+
+_STOPS = [int.from_bytes(c.encode(), "big") for c in "、。，！？"]
 
 
 def _list_array(parts: list[np.ndarray], valid: list[bool]) -> pa.Array:
@@ -146,12 +200,22 @@ def encoder(spark: SparkSession, ranks: dict[bytes, int], pattern: str = PATTERN
         cache = worker_cache()
         key = shipped()
         if cache.get("bpe", (None,))[0] is not key:
-            cache["bpe"] = key, Encoder(*key), {i: t for t, i in key[0].items()}
-        _, machine, table = cache["bpe"]
+            machine = Encoder(*key)
+            by_id = sorted(key[0].items(), key=lambda x: x[1])
+            cache["bpe"] = key, machine, np.frombuffer(b"".join(t for t, _ in by_id), np.uint8), np.cumsum(machine.size) - machine.size
+        _, machine, letters, begins = cache["bpe"]
+
+        def same(tokens: np.ndarray, raw: np.ndarray) -> bool:
+            size = machine.size[tokens]
+            if size.sum() != len(raw):
+                return False
+            shift = begins[tokens] - (np.cumsum(size) - size)
+            return bool((letters[np.repeat(shift, size) + np.arange(len(raw))] == raw).all())
+
         buf, starts, ends = text_bytes(column)
         valid = column.is_valid().to_pylist()
         parts = [machine.encode(buf[s:e]) for s, e in zip(starts.tolist(), ends.tolist())]
-        exact = [b"".join([table[i] for i in p.tolist()]) == buf[s:e].tobytes() for p, s, e in zip(parts, starts.tolist(), ends.tolist())]
+        exact = [same(p, buf[s:e]) for p, s, e in zip(parts, starts.tolist(), ends.tolist())]
         return pa.StructArray.from_arrays([_list_array(parts, valid), pa.array(exact, pa.bool_())], names=["tokens", "exact"])
 
     return F.arrow_udf(run, T.StructType([T.StructField("tokens", T.ArrayType(T.IntegerType(), False)), T.StructField("exact", T.BooleanType())]))
