@@ -1,7 +1,14 @@
 """From documents to token ids: filter, deduplicate, redact, mix, encode.
 
 Every stage takes the documents that the one before it wrote and decides for all of
-them. Columns that are not its own pass through.
+them. All but the last return the columns they are given, whatever their names; the
+last returns ``doc_id``, ``tokens``, ``n_tokens`` and ``exact``.
+
+Defined results: a document without text, or with an empty one, goes through every
+stage (it isn't toxic, nobody's copy, has no secret, costs nothing and has null
+tokens, or none); a null id is nobody's copy and is kept; a null source is a source
+of its own; rows that share an id are one document to the second stage, and otherwise
+are treated each; an empty table gives an empty result; texts are read whole.
 """
 
 from __future__ import annotations
@@ -16,17 +23,20 @@ from trestle.llm.common import materialise, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier chain doesn't call toxic; it is fitted on the labelled rows of ``sf_dir``."""
+    """Documents that the classifier chain doesn't call toxic; it is fitted on the labelled rows of ``sf_dir``.
+
+    Without labels, and without text, nothing is toxic.
+    """
     return toxicity.without_toxic(docs, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each class of near duplicates, the one with the smallest id; without id or words it stays."""
     return minhash.without_copies(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their secrets replaced, and ``n_chars`` to match."""
+    """Documents with their secrets replaced, and ``n_chars`` to match (null for a null text)."""
     names = docs.columns
     clean = docs.withColumn("text", secret_scan.redacted(spark, F.col("text")))
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(names)
@@ -34,11 +44,11 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their source's weight asks; each at least once."""
-    return mixing.mix(docs).drop("_copy")
+    return mixing.mix(docs, copy_col=None)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document."""
+    """Token ids of every document; null for a null text."""
     return bpe.encode_documents(docs)
 
 
