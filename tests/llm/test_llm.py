@@ -699,7 +699,11 @@ def test_pipeline_stages(spark, tmp_path, toxic_docs):
     rng = random.Random(11)
     rows = [(i, t, "en", f"s{i % 4 if i > 100 else 0}", len(t)) for i, t, _ in toxic_docs]
     rows += [(500, rows[1][1], "en", "s1", 1), (501, "key AKIA" + "B2" * 8 + " " + prose(rng, 30), "en", "s1", 1), (502, None, None, None, None), (503, "", "en", "s0", 0)]
-    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    rows += [(504, prose(rng, 40_000), "en", None, 1), (None, prose(rng, 20), "en", "s1", 1)]
+    clash = spark.createDataFrame(rows, SCHEMA)
+    for name in ("gone", "node", "_copy", "mix_key", "class_id", "p_toxic", "key", "id"):
+        clash = clash.withColumn(name, F.lit("clash"))
+    clash.write.parquet(f"{tmp_path}/documents.parquet")
     labels(spark, [(r[0], 1, r[2]) for r in toxic_docs]).write.parquet(f"{tmp_path}/labels.parquet")
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["toxicity", "minhash", "secrets", "mixing", "bpe"]
@@ -710,8 +714,16 @@ def test_pipeline_stages(spark, tmp_path, toxic_docs):
         docs = after
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     ids = {r["doc_id"] for r in got}
-    clean = {r[0] for r in toxic_docs if not r[2]} | {501, 502, 503}
+    clean = {r[0] for r in toxic_docs if not r[2]} | {501, 502, 503, 504, None}
     assert ids == clean and all(r["exact"] for r in got)
     machine = bpe.Encoder(bpe.load_ranks(bpe.vocabulary_path()))
-    text = {r[0]: r[1] for r in rows} | {501: rows[-3][1].replace("AKIA" + "B2" * 8, "[secret:aws_access_key]")}
+    text = {r[0]: r[1] for r in rows} | {501: rows[-5][1].replace("AKIA" + "B2" * 8, "[secret:aws_access_key]")}
     assert all(r["tokens"] is None if text[r["doc_id"]] is None else list(r["tokens"]) == machine.plain(text[r["doc_id"]]) for r in got)
+
+
+def test_pipeline_on_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    labels(spark, []).write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

@@ -78,7 +78,9 @@ def order_rules(docs: DataFrame, text_col: str = "text", rules: list[QualityRule
 
 
 def passes(text_col: str, rules: list[QualityRule]) -> Column:
-    """Whether a text passes all rules; evaluation stops at the first that rejects it."""
+    """Whether a text passes all rules; evaluation stops at the first that rejects it. Without rules every text passes."""
+    if not rules:
+        return F.lit(True)
     case = F.when(~_condition(rules[0], text_col), False)
     for rule in rules[1:]:
         case = case.when(~_condition(rule, text_col), False)
