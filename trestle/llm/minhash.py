@@ -6,7 +6,7 @@ are posted under each coordinate-value pair. Two that agree in ``T`` of ``K``
 coordinates share at least ``T`` posting lists, so a signature that has company in
 fewer is dropped, and of its ``s`` shared lists only the ``s - T + 1`` shortest (its
 prefix) need be merged: two signatures that agree often enough meet in both
-prefixes. Within a list all collisions of a pair are counted, but a pair that also
+prefixes. Of lists with the very same members all but one are skipped. Within a list all collisions of a pair are counted, but a pair that also
 meets in the list of an earlier coordinate is skipped, so that every pair counts
 once. Long lists are cut into tiles which meet two by two. No pairs leave a list,
 only the number of partners of each member and its connected part.
@@ -114,11 +114,11 @@ def _binary(rows: np.ndarray) -> pa.Array:
 _LISTS = T.StructType([T.StructField(n, T.LongType()) for n in ("token", "cell", "tile", "node")] + [T.StructField(n, T.BinaryType()) for n in ("sig", "held")])
 
 
-def prefixes(near: DataFrame, k: int, least: int) -> DataFrame:
-    """Rows of the lists in each signature's prefix, of ``node`` and its shared ``lists`` (length and token).
+def rows_of_lists(near: DataFrame, k: int) -> DataFrame:
+    """Rows of the lists that are to be merged, of ``node``, its shared ``lists`` (with their tokens) and those ``merged`` (length and token).
 
     ``sig`` has the values of shared coordinates and ``held`` says which these are
-    (1) and which of them are in the prefix (3). A long list is a triangle of cells;
+    (1) and in which the list is merged (3). A long list is a triangle of cells;
     a row goes to those of its own tile. The cell of one tile alone is negative.
     """
 
@@ -126,20 +126,13 @@ def prefixes(near: DataFrame, k: int, least: int) -> DataFrame:
         for batch in batches:
             if not len(batch):
                 continue
-            flat = batch.column(1).flatten()
-            n, token = flat.field(0).to_numpy(), flat.field(1).to_numpy()
-            size = np.diff(batch.column(1).offsets.to_numpy())
-            row = np.repeat(np.arange(len(batch)), size)
-            order = np.lexsort((token, n, row))
-            n, token = n[order], token[order]
-            rank = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-            inside = rank <= size[row] - least
             sig, held = np.zeros((len(batch), k), np.uint32), np.zeros((len(batch), k), np.uint8)
-            at = token >> 32
-            sig[row, at] = token & 0xFFFFFFFF
-            held[row, at] = np.where(inside, 3, 1)
-            node = batch.column(0).to_numpy()
-            row, token, tiles = row[inside], token[inside], -(-n[inside] // TILE)
+            row, token, _ = _flat(batch.column(1))
+            sig[row, token >> 32] = token & 0xFFFFFFFF
+            held[row, token >> 32] = 1
+            row, token, n = _flat(batch.column(2))
+            held[row, token >> 32] = 3
+            node, tiles = batch.column(0).to_numpy(), -(-n // TILE)
             own = (node[row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % tiles
             each = np.repeat(np.arange(len(row)), tiles)
             with_tile = np.arange(len(each)) - np.repeat(np.cumsum(tiles) - tiles, tiles)
@@ -151,6 +144,12 @@ def prefixes(near: DataFrame, k: int, least: int) -> DataFrame:
     return near.mapInArrow(run, _LISTS)
 
 
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, token and length of each list in an array of (length, token)."""
+    flat = column.flatten()
+    return np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy())), flat.field(1).to_numpy(), flat.field(0).to_numpy()
+
+
 _ARROW_LISTS = pa.schema([(n, pa.int64()) for n in ("token", "cell", "tile", "node")] + [(n, pa.binary()) for n in ("sig", "held")])
 
 
@@ -265,8 +264,16 @@ def partners(sigs: DataFrame, k: int = K, threshold: float = THRESHOLD) -> DataF
     least = max(int(np.ceil(threshold * k)), 1)
     posts = _post(sigs.select("node", "sig"), k)
     company = posts.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
-    shared = posts.join(company, "token").groupBy("node").agg(F.collect_list(F.struct("n", "token")).alias("lists"))
-    lists = prefixes(shared.where(F.size("lists") >= least), k, least)
+    # written, since it is read three times
+    hits = materialise(posts.join(company.hint("merge"), "token"))
+    shared = hits.groupBy("node").agg(F.collect_list(F.struct("n", "token")).alias("lists")).where(F.size("lists") >= least)
+    prefix = F.slice(F.array_sort("lists"), 1, F.size("lists") - (least - 1))
+    rows = shared.select("node", F.explode(prefix.getField("token")).alias("token"))
+    # lists with the same members have the same number of them and the same fingerprint of 128 bits
+    members = rows.groupBy("token").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("n > 1")
+    first = members.groupBy("n", "x", "y").agg(F.min("token").alias("token")).select("n", "token")
+    merged = rows.join(first.hint("merge"), "token").groupBy("node").agg(F.collect_list(F.struct("n", "token")).alias("merged"))
+    lists = rows_of_lists(shared.join(merged.hint("merge"), "node").select("node", "lists", "merged"), k)
     return _merge(lists.repartition("token", "cell").sortWithinPartitions("token", "cell"), k, least)
 
 
