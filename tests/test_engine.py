@@ -260,3 +260,58 @@ def test_every_query_has_matching_names():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_text_to_edges_to_findings(spark):
+    text = "/*\nimport q from 'z'\n*/\n// import c from 'comment'\nimport {\n  a,\n  type B\n} from '../../infra/db'\nconst s = \"import('no such')\"\nexport type { T } from './t'\nconst x = await import('./late'); require('old')\n"
+    up = "/".join([".."] * 9)
+    files = spark.createDataFrame([("src/domain/deep/m.ts", text), ("a/b/c/d/e/f/g/h/i/n.ts", f"import z from '{up}/a/t'\n"), ("a/t.ts", "")], "file string, text string")
+    found = facts.import_edges(files)
+    got = sorted((r["file"], r["line"], r["kind"], r["specifier"], r["type_only"]) for r in found.collect())
+    assert got == [("a/b/c/d/e/f/g/h/i/n.ts", 1, "import", f"{up}/a/t", False), ("src/domain/deep/m.ts", 5, "import", "../../infra/db", False), ("src/domain/deep/m.ts", 10, "re-export", "./t", True), ("src/domain/deep/m.ts", 11, "dynamic", "./late", False), ("src/domain/deep/m.ts", 11, "require", "old", False)]
+    modules = spark.createDataFrame([("src/infra/db.ts",), ("src/domain/deep/t/index.ts",), ("a/t.ts",), ("src/domain/deep/m.ts",)], "file string")
+    resolved = facts.resolve_relative(found, modules)
+    assert {r["specifier"]: r["resolved_path"] for r in resolved.collect()} == {f"{up}/a/t": "a/t.ts", "../../infra/db": "src/infra/db.ts", "./t": "src/domain/deep/t/index.ts", "./late": None, "old": None}
+    rows = rule(modules, "pure").should(edges.not_import_from(resolved, ["src/infra/**"])).violations().collect()
+    assert [(r["file"], r["line"]) for r in rows] == [("src/domain/deep/m.ts", 5)]
+
+
+def test_directive_must_be_a_comment(spark):
+    files = spark.createDataFrame([("a.ts", "const s = '// rule-exclude x: no'\n// rule-exclude y: yes\n/* // rule-exclude z: also */\n`\n// rule-exclude w: no\n`")], "file string, text string")
+    assert sorted((r["rule_id"], r["line"]) for r in facts.directives(files).collect()) == [("y", 2), ("z", 3)]
+
+
+def test_many_equal_subjects_are_numbered_quickly(spark):
+    import time
+
+    rows = spark.range(20_000).select(F.lit("s").alias("e"), F.col("id").cast("string").alias("f")).union(spark.createDataFrame([("s#2", "a"), ("s#2", "b"), ("s#2#1", "c")], "e string, f string"))
+    found = to_violations(rows, "e", F.lit("m"), file="f", identity=F.col("e")).withColumn("rule", F.lit("r"))
+    began = time.perf_counter()
+    got = [r["identity"] for r in findings.disambiguate(found).collect()]
+    assert len(set(got)) == len(got) == 20_003 and "s#1" in got and "s#20000" in got and "s#2#2" in got and time.perf_counter() - began < 20
+
+
+def test_what_was_hidden_is_told(spark):
+    found = to_violations(spark.createDataFrame([("a", "f", 2), ("a", "f", 3), ("a", "g", 9)], "e string, file string, line int"), "e", F.lit("m"), file="file", line="line").withColumn("rule_id", F.lit("r"))
+    marks = spark.createDataFrame([("r", "", "f", 1, False, None), ("r", "", "f", 2, False, None)], "rule_id string, reason string, file string, line int, is_block boolean, end_line int")
+    hidden = findings.suppressed_by_comment(found, marks)
+    assert [tuple(r) for r in hidden.collect()] == [("r", "f", 2)]
+    assert findings.suppression_notice(hidden).first()["notice"] == "2 findings are suppressed by comments in 1 files"
+    coverage = spark.createDataFrame([("x", 3, 0), ("y", 3, 1), ("z", 0, 0)], "rule string, subjects long, edges long")
+    assert [r["rule"] for r in findings.untested_rules(coverage).collect()] == ["x"]
+    exclusions = spark.createDataFrame([("a", False), ("b", False), ("c", True)], "exclusion string, silent boolean")
+    assert [r["exclusion"] for r in findings.loud_unused(exclusions, found).collect()] == ["b"]
+    scopes = spark.createDataFrame([("f", "outer", 1, 9), ("f", "inner", 2, 2)], "file string, name string, line int, end_line int")
+    scoped = findings.enclosing_scope(found.select("file", "line"), scopes)
+    assert sorted((r["file"], r["line"], r["scope"] or "") for r in scoped.collect()) == [("f", 2, "inner"), ("f", 3, "outer"), ("g", 9, "")]
+
+
+def test_errors_and_reports_count_all(spark):
+
+    many = to_violations(spark.range(50).select(F.col("id").cast("string").alias("e")), "e", F.lit("m"))
+    with pytest.raises(RuleError) as caught:
+        rule(spark.range(50).select(F.col("id").cast("string").alias("name")), "none").should(c.not_exist(c.Elements("name", None, None))).check(most=10)
+    assert len(caught.value.findings) == 10 and caught.value.total == 50 and "and 30 more" in str(caught.value)
+    text, errors = report.render(many, "plain")
+    assert errors == 50 and report.totals(many) == (50, 50) and "50 findings, 50 errors" in text
+    assert "the first 10 shown" in report.plain(report.rows(many, 10), (50, 50))

@@ -87,9 +87,9 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
         n = facts.write_baseline(f.baseline_of(left), o.baseline or "trestle-baseline.json")
         print(f"{n} findings accepted")
         return 0
-    rows = report.rows(left)
-    print({"terminal": report.terminal, "plain": report.plain, "json": report.as_json, "annotations": report.annotations}[o.format or report.detect_format()](rows))
-    return int(any((r["severity"] or "error") == "error" for r in rows))
+    text, errors = report.render(left, o.format)
+    print(text)
+    return int(errors > 0)
 
 
 if __name__ == "__main__":

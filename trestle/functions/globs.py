@@ -136,3 +136,21 @@ def diagnose_glob(glob: str, files: list[str], folders: list[str]) -> str | None
     if not is_anchored(glob) and hit("**/" + glob, files):
         return "unanchored"
     return "folder-not-file" if hit(glob, folders) else "no-match"
+
+
+def root_of(paths: list[str]) -> str:
+    """The deepest folder that holds all paths; empty without one."""
+    parts = [p.split("/")[:-1] for p in paths]
+    if not parts:
+        return ""
+    same = []
+    for names in zip(*parts):
+        if len(set(names)) > 1:
+            break
+        same.append(names[0])
+    return "/".join(same)
+
+
+def by_codepoint(text: str) -> bytes:
+    """Sort key of a text, the same in every locale."""
+    return text.encode("utf-32-be", "surrogatepass")

@@ -5,9 +5,10 @@ A missing name fails a name predicate, and its negation then holds.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .globs import glob_regex, is_project_relative
@@ -42,6 +43,22 @@ def equals_or_matches(c: Column | str, text: str | None = None, regex: str | Non
     return two_valued(col(c) == text if regex is None else col(c).rlike(regex))
 
 
+# paths
+def to_portable_path(path: Column | str) -> Column:
+    """Forward slashes, no drive letter in capitals, no doubled or trailing slash."""
+    text = F.regexp_replace(F.regexp_replace(col(path), r"\\", "/"), r"(?<!:)//+", "/")
+    drive = F.regexp_extract(text, r"^([A-Za-z]):", 1)
+    text = F.when(drive != "", F.concat(F.lower(drive), F.substring(text, F.lit(2), F.length(text)))).otherwise(text)
+    return F.regexp_replace(text, r"(?<=.)/$", "")
+
+
+def relative_to_root(path: Column | str, root: str) -> Column:
+    """The path below ``root``; null for one that isn't below it, ``.`` for the root itself."""
+    base = root.rstrip("/")
+    p = col(path)
+    return F.when(p == base, ".").when(p.startswith(base + "/"), F.substring(p, F.lit(len(base) + 2), F.length(p)))
+
+
 # names and places
 def have_name_matching(regex: str, name: Column | str = "name") -> Column:
     return two_valued(col(name).rlike(regex))
@@ -129,6 +146,12 @@ def are_type_aliases(c: Column | str = "kind") -> Column:
     return of_kind("alias", c)
 
 
+def export_symbol_named(exports: DataFrame, name: str) -> Callable[[DataFrame], DataFrame]:
+    """Modules (``file``) that export a symbol of that name: a function of the population, by a semi join with ``exports(file, name)``."""
+    found = exports.where(F.col("name") == name).select("file")
+    return lambda modules: modules.join(found, "file", "left_semi")
+
+
 # members of arrays of structs
 def some(items: Column | str, test) -> Column:
     """Any item of an array passes; ``test`` takes the item."""

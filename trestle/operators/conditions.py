@@ -122,7 +122,7 @@ def have_only_readonly_properties(items: str = "properties", e: Elements = Eleme
 
 
 def have_property_type(name: str, matcher, items: str = "properties", e: Elements = Elements()) -> Condition:
-    wrong = F.exists(F.coalesce(F.col(items), F.array().cast("array<struct<name:string,type_text:string>>")), lambda p: (p["name"] == name) & ~two_valued(matcher(p["type_text"])))
+    wrong = F.exists(F.col(items), lambda p: (p["name"] == name) & ~two_valued(matcher(p["type_text"])))
     return element_condition(f"have {name} of the given type, if at all", ~two_valued(wrong), e)
 
 

@@ -23,7 +23,7 @@ STATIC = ("import", "re-export")
 def candidates(root: str = "") -> Column:
     """Paths by which an edge may be meant: resolved, bare specifier, root-relative; an unresolved one has its specifier alone."""
     bare = F.when(~F.col("specifier").rlike(r"^[./]"), F.col("specifier"))
-    relative = F.when(F.col("resolved_path").startswith(root.rstrip("/") + "/"), F.substring(F.col("resolved_path"), len(root.rstrip("/")) + 2, 100_000)) if root else F.lit(None).cast("string")
+    relative = F.when(F.col("resolved_path").startswith(root.rstrip("/") + "/"), F.substring(F.col("resolved_path"), F.lit(len(root.rstrip("/")) + 2), F.length("resolved_path"))) if root else F.lit(None).cast("string")
     return F.when(F.col("resolved_path").isNull(), F.array("specifier")).otherwise(F.array_compact(F.array("resolved_path", bare, relative)))
 
 
@@ -145,7 +145,7 @@ def default_export(wanted: bool, column: str = "has_default_export") -> Conditio
 def slices_by_prefix(files: DataFrame, prefix: str, path: str = "file") -> DataFrame:
     """``slice`` is the path segment that follows the first occurrence of ``prefix``."""
     at = F.instr(path, prefix)
-    rest = F.expr(f"substring(`{path}`, instr(`{path}`, '{prefix}') + {len(prefix)})")
+    rest = F.substring(F.col(path), at + len(prefix), F.length(path))
     return files.where(at > 0).select(F.col(path).alias("file"), F.element_at(F.split(rest, "/"), 1).alias("slice")).where("slice <> ''").distinct()
 
 

@@ -27,16 +27,17 @@ def bypass() -> Column:
 
 
 def disambiguate(findings: DataFrame) -> DataFrame:
-    """The second and later findings with the same rule and subject get ``#n``, skipping numbers that are taken."""
-    keyed = findings.withColumn("_subject", subject()).withColumn("_rule", F.coalesce("rule", F.lit("")))
-    order = Window.partitionBy("_rule", "_subject").orderBy(F.col("file").asc_nulls_first(), F.col("line").asc_nulls_first(), F.col("message").asc_nulls_first())
-    numbered = keyed.withColumn("_nth", F.row_number().over(order) - 1)
-    parts = keyed.select("_rule", F.regexp_extract("_subject", r"(?s)^(.*)#(\d{1,9})$", 1).alias("_base"), F.regexp_extract("_subject", r"#(\d{1,9})$", 1).alias("_k"))
-    taken = parts.where("_k <> ''").groupBy("_rule", "_base").agg(F.array_sort(F.collect_set(F.col("_k").try_cast("int"))).alias("_taken")).withColumnRenamed("_base", "_subject")
-    both = numbered.join(taken, ["_rule", "_subject"], "left").withColumn("_taken", F.coalesce("_taken", F.array().cast("array<int>")))
-    free = F.get(F.filter(F.sequence(F.lit(1), F.col("_nth") + F.size("_taken") + 1), lambda k: ~F.array_contains(F.col("_taken"), k)), F.col("_nth") - 1)
-    identity = F.when(F.col("_nth") > 0, F.concat(F.col("_subject"), F.lit("#"), free.cast("string"))).otherwise(F.col("identity"))
-    return both.withColumn("identity", identity).select(*VIOLATION.names)
+    """The second and later findings with the same rule and subject get ``#n``, skipping numbers that are taken; one pass over the findings."""
+    keyed = findings.withColumn("_subject", subject()).withColumn("_rule", F.coalesce("rule", F.lit(""))).withColumn("_base", F.regexp_replace("_subject", r"(#\d{1,9})+$", ""))
+    group = Window.partitionBy("_rule", "_base")
+    order = Window.partitionBy("_rule", "_base", "_subject").orderBy(F.col("file").asc_nulls_first(), F.col("line").asc_nulls_first(), F.col("message").asc_nulls_first())
+    numbered = keyed.withColumn("_ends", F.collect_set(F.when(F.col("_subject").rlike(r"#\d{1,9}$"), F.col("_subject"))).over(group)).withColumn("_nth", F.row_number().over(order) - 1)
+    own = F.concat(F.col("_subject"), F.lit("#"))
+    suffixes = F.transform(F.filter("_ends", lambda s: s.startswith(own)), lambda s: F.substring(s, F.length(own) + 1, F.length(s)))
+    taken = F.array_sort(F.array_compact(F.transform(suffixes, lambda s: F.when(s.rlike(r"^\d{1,9}$"), s.cast("int")))))
+    free = F.aggregate(taken, F.col("_nth"), lambda n, t: F.when(t <= n, n + 1).otherwise(n))
+    identity = F.when(F.col("_nth") > 0, F.concat(own, free.cast("string"))).otherwise(F.col("identity"))
+    return numbered.withColumn("identity", identity).select(*VIOLATION.names)
 
 
 def enrich(findings: DataFrame, rule_id: str | None = None, because: str | None = None, suggestion: str | None = None, docs: str | None = None, severity: str | None = None) -> DataFrame:
@@ -74,12 +75,11 @@ def orphan_directives(directives: DataFrame, rule_ids: list[str]) -> DataFrame:
 
 def dedupe_configuration(findings: DataFrame) -> DataFrame:
     """Findings about the configuration once for each file, rule and element, with their number."""
-    same = Window.partitionBy(bypass(), "file", "rule", "element")
-    n = F.when(bypass(), F.count("*").over(same)).otherwise(1)
-    nth = F.when(bypass(), F.row_number().over(same.orderBy("message"))).otherwise(1)
-    rows = findings.withColumn("_n", n).withColumn("_nth", nth).where("_nth = 1")
+    own = [n for n in VIOLATION.names if n not in ("file", "rule", "element")]
+    first = findings.where(bypass()).groupBy("file", "rule", "element").agg(F.min(F.struct("message", *[n for n in own if n != "message"])).alias("_v"), F.count("*").alias("_n"))
+    rows = first.select("file", "rule", "element", "_n", "_v.*")
     text = F.when(F.col("_n") > 1, F.concat(F.col("message"), F.lit(" ("), F.col("_n").cast("string"), F.lit(" rules come from this one option)"))).otherwise(F.col("message"))
-    return rows.withColumn("message", text).select(*VIOLATION.names)
+    return findings.where(~bypass()).select(*VIOLATION.names).unionByName(rows.withColumn("message", text).select(*VIOLATION.names))
 
 
 def finding_hash(root: str = "") -> Column:
@@ -102,7 +102,7 @@ def baseline_of(findings: DataFrame, root: str = "") -> DataFrame:
 
 def new_since(findings: DataFrame, baseline: DataFrame, root: str = "") -> DataFrame:
     """Findings that the baseline doesn't know, or that measure worse than what it accepted."""
-    known = baseline.select(F.col("hash").alias("_hash"), F.col("measured").alias("_accepted"), F.lit(True).alias("_known")).dropDuplicates(["_hash"])
+    known = baseline.groupBy(F.col("hash").alias("_hash")).agg(F.max("measured").alias("_accepted"), F.lit(True).alias("_known"))
     rows = findings.withColumn("_hash", finding_hash(root)).join(known, "_hash", "left")
     worse = two_valued(F.col("measured") > F.col("_accepted"))
     return rows.where(bypass() | F.col("_known").isNull() | worse).select(*VIOLATION.names)
@@ -127,3 +127,38 @@ def edge_coverage(population: DataFrame, edges: DataFrame) -> DataFrame:
     """Subjects of an allow-list rule and the edges that it tested."""
     tested = edges.join(population.select("file").distinct(), "file", "left_semi")
     return population.agg(F.count("*").alias("subjects")).crossJoin(tested.agg(F.count("*").alias("edges")))
+
+
+def untested_rules(coverage: DataFrame) -> DataFrame:
+    """Rules (``rule``, ``subjects``, ``edges``) that had subjects and tested no edge."""
+    return coverage.where("subjects > 0 AND edges = 0")
+
+
+def silent(exclusions: DataFrame) -> DataFrame:
+    """Exclusions (``rule``, ``exclusion``) marked as meant to match nothing: they are left out of :func:`unused_exclusions`."""
+    return exclusions.withColumn("silent", F.lit(True))
+
+
+def loud_unused(exclusions: DataFrame, findings: DataFrame) -> DataFrame:
+    """Exclusions of a table (``exclusion``, ``silent``) that excluded nothing and aren't silent."""
+    seen = findings.select(F.explode(F.array("element", "file", "message")).alias("exclusion")).distinct()
+    return exclusions.where(~two_valued(F.col("silent"))).join(seen, "exclusion", "left_anti")
+
+
+def suppressed_by_comment(findings: DataFrame, directives: DataFrame) -> DataFrame:
+    """What :func:`suppress` takes away, counted by rule and file."""
+    return findings.exceptAll(suppress(findings, directives).select(*findings.columns)).groupBy("rule_id", "file").agg(F.count("*").alias("n"))
+
+
+def suppression_notice(hidden: DataFrame) -> DataFrame:
+    """A line for people about each rule's hidden findings (``rule_id``, ``file``, ``n``)."""
+    by_rule = hidden.groupBy("rule_id").agg(F.sum("n").alias("n"), F.count("*").alias("files"))
+    return by_rule.select("rule_id", F.concat(F.col("n").cast("string"), F.lit(" findings are suppressed by comments in "), F.col("files").cast("string"), F.lit(" files")).alias("notice"))
+
+
+def enclosing_scope(inner: DataFrame, scopes: DataFrame) -> DataFrame:
+    """Each row of ``inner`` (``file``, ``line``) with the name of the innermost scope (``file``, ``name``, ``line``, ``end_line``) around it."""
+    key = F.struct(*inner.columns)
+    around = scopes.select(F.col("file").alias("_f"), F.col("name").alias("_n"), F.col("line").alias("_a"), F.col("end_line").alias("_b"))
+    hit = inner.join(around, (F.col("file") == F.col("_f")) & F.col("line").between(F.col("_a"), F.col("_b")), "left")
+    return hit.groupBy(key.alias("_k")).agg(F.max_by("_n", F.struct(F.col("_a"), -F.col("_b"))).alias("scope")).select("_k.*", "scope")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import matchers as m
@@ -49,8 +49,8 @@ def _members(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _trade(spark: SparkSession, d: str) -> DataFrame:
-    """Edges between nations: who supplies whom at the highest discount."""
-    item = table(spark, d, "lineitem").where("l_quantity >= 50 AND l_discount >= 0.1").select("l_orderkey", "l_suppkey", "l_linenumber")
+    """Edges between nations: who supplies whom."""
+    item = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber")
     buyer = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", F.col("c_nationkey").alias("to"))
     seller = table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("from"))
     rows = item.join(buyer, F.col("l_orderkey") == F.col("o_orderkey")).join(seller, F.col("l_suppkey") == F.col("s_suppkey")).where("from <> to")
@@ -58,7 +58,7 @@ def _trade(spark: SparkSession, d: str) -> DataFrame:
 
 
 _TRADE = """(SELECT 'n' || CAST(s_nationkey AS VARCHAR) AS src, 'n' || CAST(c_nationkey AS VARCHAR) AS dst, CAST(l_orderkey AS VARCHAR) AS file, l_linenumber AS line FROM lineitem JOIN orders ON l_orderkey = o_orderkey
- JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity >= 50 AND l_discount >= 0.1 AND s_nationkey <> c_nationkey)"""
+ JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE s_nationkey <> c_nationkey)"""
 
 
 # ---- flagship, thresholds, lifecycle of findings
@@ -193,9 +193,9 @@ def modules_importing(spark, d):
     return edges.importing(_suppliers(spark, d), _edges(spark, d), ["part/10*"]).select("file")
 
 
-@query("modules_not_importing", "SELECT file FROM " + _SUPPLIERS + " s WHERE NOT EXISTS (SELECT 1 FROM " + _EDGES + " e WHERE e.file = s.file AND kind <> 'require' AND regexp_matches(target, '^part/10[^/]*$'))")
+@query("modules_not_importing", "SELECT file FROM " + _SUPPLIERS + " s WHERE NOT EXISTS (SELECT 1 FROM " + _EDGES + " e WHERE e.file = s.file AND kind <> 'require' AND regexp_matches(target, '^part/10[^/]$'))")
 def modules_not_importing(spark, d):
-    return edges.not_importing(_suppliers(spark, d), _edges(spark, d), ["part/10*"]).select("file")
+    return edges.not_importing(_suppliers(spark, d), _edges(spark, d), ["part/10?"]).select("file")
 
 
 @query("only_import_from", "SELECT file, line, file || '::should not import::' || target AS identity FROM " + _EDGES + " e WHERE kind <> 'require' AND NOT regexp_matches(target, '^part/[1-9][^/]*$')")
@@ -328,9 +328,9 @@ def duplicate_bodies(spark, d):
 
 
 # ---- markup, calls, schemas
-@query("attribute_required", "WITH t AS (SELECT url AS file, unnest(regexp_extract_all(html, '<div[^>]*>')) AS tag FROM pages) SELECT file, count(*) AS n FROM t WHERE NOT regexp_matches(tag, ' class=') GROUP BY file")
+@query("attribute_required", "WITH t AS (SELECT url AS file, unnest(regexp_extract_all(html, '<p(?: [^>]*)?>')) AS tag FROM pages) SELECT file, count(*) AS n FROM t WHERE NOT regexp_matches(tag, ' class=') GROUP BY file")
 def attribute_required(spark, d):
-    divs = facts.markup_elements(table(spark, d, "pages")).where(p.are_html_elements("div")).withColumn("line", F.lit(1))
+    divs = facts.markup_elements(table(spark, d, "pages")).where(p.are_html_elements("p")).withColumn("line", F.lit(1))
     return c.have_attribute("class").evaluate(divs).groupBy("file").agg(F.count("*").alias("n"))
 
 
@@ -383,5 +383,4 @@ def window_limit_query(spark, d):
 
 @query("first_site", f"SELECT src, dst, min(CAST(file AS BIGINT)) AS first_order FROM {_TRADE} t GROUP BY src, dst")
 def first_site(spark, d):
-    order = Window.partitionBy("src", "dst").orderBy(F.col("file").cast("long"), "line")
-    return _trade(spark, d).withColumn("k", F.row_number().over(order)).where("k = 1").select("src", "dst", F.col("file").cast("long").alias("first_order"))
+    return _trade(spark, d).groupBy("src", "dst").agg(F.min(F.col("file").cast("long")).alias("first_order"))

@@ -20,9 +20,9 @@ from ..schema import VIOLATION, to_violations
 class RuleError(AssertionError):
     """A checked rule has findings."""
 
-    def __init__(self, rows: list):
-        super().__init__("\n".join(f"{r['element']}: {r['message']}" for r in rows[:20]) + (f"\nand {len(rows) - 20} more" if len(rows) > 20 else ""))
-        self.findings = rows
+    def __init__(self, rows: list, total: int | None = None):
+        self.findings, self.total = rows, len(rows) if total is None else total
+        super().__init__("\n".join(f"{r['element']}: {r['message']}" for r in rows[:20]) + (f"\nand {self.total - 20} more" if self.total > 20 else ""))
 
 
 @dataclass(frozen=True)
@@ -110,20 +110,22 @@ class Rule:
         return f.in_changed(rows, changed)
 
     def check(self, baseline: DataFrame | None = None, changed: DataFrame | None = None, most: int = 1000) -> None:
-        """Raise where anything is left; one action."""
-        rows = self.violations(baseline, changed).limit(most).collect()
-        if rows:
-            raise RuleError(rows)
+        """Raise where anything is left: the error has ``most`` findings at most and the number of all, which are counted where they are more."""
+        _raise(self.violations(baseline, changed), most)
 
     def warn(self, baseline: DataFrame | None = None, changed: DataFrame | None = None) -> DataFrame:
         """Findings as warnings; those about the configuration still raise."""
         found = self.violations(baseline, changed)
-        broken = found.where(f.bypass()).limit(1000).collect()
-        if broken:
-            raise RuleError(broken)
+        _raise(found.where(f.bypass()), 1000)
         return found.withColumn("severity", F.lit("warn"))
 
 
+def _raise(found: DataFrame, most: int) -> None:
+    rows = found.limit(most).collect()
+    if rows:
+        raise RuleError(rows, len(rows) if len(rows) < most else found.count())
+
+
 def rule(population: DataFrame, name: str = "rule") -> Rule:
     return Rule(population, name)
 

@@ -37,41 +37,84 @@ def text_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("text"))
 
 
+#: strings, comments, and what is between them
+_TOKEN = r"(?s)\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`|//[^\n]*|/\*.*?\*/|[^\"'`/]+|."
 _EDGES = [
-    ("re-export", r"(?m)^\s*export\s+(?:type\s+)?(?:\*(?:\s+as\s+\w+)?|\{[^}]*\})\s+from\s+[\"'][^\"']+[\"']"),
-    ("import", r"(?m)^\s*import\s+(?:[^\"';]+?\s+from\s+)?[\"'][^\"']+[\"']"),
+    ("re-export", r"(?m)^[ \t]*export\s+(?:type\s+)?(?:\*(?:\s+as\s+\w+)?|\{[^}]*\})\s+from\s+[\"'][^\"']+[\"']"),
+    ("import", r"(?m)^[ \t]*import\s+(?:[^\"';]+?\s+from\s+)?[\"'][^\"']+[\"']"),
     ("dynamic", r"\bimport\(\s*[\"'`][^\"'`$]+[\"'`]\s*\)"),
     ("require", r"\brequire\(\s*[\"'][^\"']+[\"']\s*\)"),
 ]
 
 
+def _tokens(text: Column, keep) -> Column:
+    """Text in which the tokens that ``keep`` is false for are blank; lines stay where they are."""
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0)), lambda x: F.when(keep(x), x).otherwise(F.regexp_replace(x, r"[^\n]", " "))), "")
+
+
+def _is_comment(x: Column) -> Column:
+    return x.startswith("//") | (x.startswith("/*") & (F.length(x) > 3))
+
+
+def code_only(text: Column | str) -> Column:
+    """Text without comments, and without strings that no module could be named by (with spaces or brackets)."""
+    return _tokens(col(text), lambda x: ~_is_comment(x) & ~(x.rlike(r"^[\"'`]") & x.rlike(r"(?s)^.(?=.*[\s()$]).*.$")))
+
+
+def comments_only(text: Column | str) -> Column:
+    """Text with its comments alone."""
+    return _tokens(col(text), _is_comment)
+
+
+def _newlines(x: Column) -> Column:
+    return F.length(x) - F.length(F.regexp_replace(x, "\n", ""))
+
+
 def import_edges(files: DataFrame) -> DataFrame:
-    """``module_edges`` facts by the lexer: what is imported, how, and whether only types are; paths stay unresolved."""
-    every = F.array(*[F.struct(F.lit(kind).alias("kind"), F.regexp_extract_all("text", F.lit(regex), F.lit(0)).alias("texts")) for kind, regex in _EDGES])
-    rows = files.select("file", F.explode(every).alias("e")).select("file", "e.kind", F.explode("e.texts").alias("_text"))
+    """``module_edges`` facts by the lexer: what is imported, how, in which line, and whether only types are; paths stay unresolved."""
+    code = files.select("file", code_only("text").alias("_code"))
+
+    def sites(kind: str, regex: str) -> Column:
+        found = F.regexp_extract_all("_code", F.lit(regex), F.lit(0))
+        before = F.zip_with(F.split("_code", regex, -1), F.concat(F.array(F.lit("")), found), lambda gap, match: _newlines(F.concat(F.coalesce(match, F.lit("")), F.coalesce(gap, F.lit("")))))
+        line = lambda i: F.aggregate(F.slice(before, 1, i + 1), F.lit(1), lambda a, x: a + x)
+        return F.transform(found, lambda text, i: F.struct(F.lit(kind).alias("kind"), text.alias("text"), line(i).alias("line")))
+
+    rows = code.select("file", F.explode(F.concat(*[sites(kind, regex) for kind, regex in _EDGES])).alias("e")).select("file", "e.kind", F.col("e.text").alias("_text"), "e.line")
     names = F.filter(F.transform(F.split(F.regexp_extract("_text", r"(?s)\{([^}]*)\}", 1), ","), lambda x: F.trim(x)), lambda x: x != "")
     all_types = (F.size(names) > 0) & F.forall(names, lambda n: n.startswith("type "))
     whole = F.col("_text").rlike(r"^\s*(import|export)\s+type\b")
-    return rows.select("file", "kind", F.regexp_extract("_text", r"[\"'`]([^\"'`]+)[\"'`]", 1).alias("specifier"), F.lit(None).cast("string").alias("resolved_path"), (whole | all_types).alias("type_only"), whole.alias("erases_request"), names.alias("names"))
+    return rows.select("file", "kind", F.regexp_extract("_text", r"[\"'`]([^\"'`]+)[\"'`]", 1).alias("specifier"), F.lit(None).cast("string").alias("resolved_path"), "line", (whole | all_types).alias("type_only"), whole.alias("erases_request"), names.alias("names"))
+
+
+def normal_path(path: Column) -> Column:
+    """A path with ``.`` and ``..`` folded, however many; null where it climbs above its start."""
+    folded = F.aggregate(
+        F.split(path, "/"),
+        F.array().cast("array<string>"),
+        lambda done, x: F.when(x == ".", done).when((x == "..") & (F.size(done) > 0) & (F.element_at(done, -1) != ".."), F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(x))),
+    )
+    return F.when(~F.array_contains(folded, ".."), F.array_join(folded, "/"))
 
 
 def resolve_relative(edges: DataFrame, modules: DataFrame, extensions: tuple[str, ...] = ("", ".ts", ".tsx", ".js", "/index.ts")) -> DataFrame:
-    """Fill ``resolved_path`` of relative specifiers where a module of that path is known."""
-    folder = F.regexp_replace("file", r"/[^/]*$", "")
-    joined = F.when(F.col("specifier").startswith("."), F.concat(folder, F.lit("/"), F.regexp_replace("specifier", r"\.js$", "")))
-    flat = F.regexp_replace(joined, r"/\./", "/")
-    for _ in range(6):
-        flat = F.regexp_replace(flat, r"/(?!\.\.)[^/]+/\.\.(?=/|$)", "")
-    tries = edges.withColumn("_id", F.monotonically_increasing_id()).withColumn("_path", F.explode_outer(F.array(*[F.concat(flat, F.lit(x)) for x in extensions])))
-    known = modules.select(F.col("file").alias("_path"), F.col("file").alias("_found")).distinct()
-    best = tries.join(known, "_path", "left").drop("_path")
-    others = [c for c in edges.columns if c != "resolved_path"]
-    return best.groupBy("_id").agg(*[F.first(c).alias(c) for c in others], F.coalesce(F.min("_found"), F.first("resolved_path")).alias("resolved_path")).select(*edges.columns)
+    """Fill ``resolved_path`` of relative specifiers where a module of that path is known; the first of ``extensions`` that fits counts."""
+    folder = F.regexp_replace("file", r"/?[^/]*$", "")
+    asked = edges.where(F.col("specifier").startswith(".")).select(folder.alias("_folder"), F.col("specifier").alias("_specifier")).distinct()
+    flat = normal_path(F.concat(F.col("_folder"), F.lit("/"), F.regexp_replace("_specifier", r"\.js$", "")))
+    tries = asked.select("_folder", "_specifier", F.posexplode(F.array(*[F.concat(flat, F.lit(x)) for x in extensions])).alias("_nth", "_path"))
+    known = modules.select(F.col("file").alias("_path")).distinct()
+    best = tries.join(known, "_path").groupBy("_folder", "_specifier").agg(F.min_by("_path", "_nth").alias("_found"))
+    both = edges.join(best, (folder == F.col("_folder")) & (F.col("specifier") == F.col("_specifier")), "left")
+    return both.withColumn("resolved_path", F.coalesce("_found", "resolved_path")).select(*edges.columns)
 
 
 def directives(files: DataFrame, marker: str = "rule-exclude") -> DataFrame:
-    """Suppression comments: ``// MARKER id: reason`` for the next line, ``MARKER-start id`` to ``MARKER-end``; a block that isn't closed has no end."""
-    lines = files.select("file", F.posexplode(F.split("text", "\n")).alias("line", "_t")).withColumn("line", F.col("line") + 1)
+    """Suppression comments: ``// MARKER id: reason`` for the next line, ``MARKER-start id`` to ``MARKER-end``; a block that isn't closed has no end.
+
+    A directive is a comment: the same words in a string are none.
+    """
+    lines = files.select("file", F.posexplode(F.split(comments_only("text"), "\n")).alias("line", "_t")).withColumn("line", F.col("line") + 1)
     kind = F.regexp_extract("_t", rf"//\s*{marker}(-start|-end|)(?=\s|$)", 1)
     hits = lines.where(F.col("_t").rlike(rf"//\s*{marker}(-start|-end|)(\s|$)")).withColumn("_kind", kind)
     fields = hits.withColumn("rule_id", F.regexp_extract("_t", rf"{marker}(?:-start)?\s+([\w./-]+)", 1)).withColumn("reason", F.trim(F.regexp_extract("_t", r"[\w./-]+:\s*(.*)$", 1)))

@@ -14,24 +14,41 @@ def rows(findings: DataFrame, most: int = 10_000) -> list[dict]:
     return [r.asDict() for r in findings.orderBy("file", "line", "rule", "element", "message").limit(most).collect()]
 
 
-def plain(found: list[dict]) -> str:
+def totals(findings: DataFrame) -> tuple[int, int]:
+    """Number of all findings and of errors among them, counted by Spark."""
+    row = findings.agg(F.count("*").alias("n"), F.count(F.when(F.coalesce("severity", F.lit("error")) == "error", 1)).alias("e")).first()
+    return row["n"], row["e"]
+
+
+def _counts(found: list[dict], counted: tuple[int, int] | None) -> tuple[int, int]:
+    return counted or (len(found), sum((v["severity"] or "error") == "error" for v in found))
+
+
+def remedy_repeats(message: Column, remedy: Column) -> Column:
+    """Whether a remedy says no more than the message."""
+    return F.coalesce(F.contains(F.lower(message), F.lower(F.trim(remedy))), F.lit(False))
+
+
+def plain(found: list[dict], counted: tuple[int, int] | None = None) -> str:
+    """Findings as text; ``counted`` is how many there are in all where only the first are shown."""
     lines = []
     for v in found:
         where = f"{v['file']}:{v['line']}" if v["line"] is not None else v["file"] or "-"
         lines.append(f"{v['severity'] or 'error'}  {where}  {v['element']}: {v['message']}")
         lines += [f"    {label}: {v[name]}" for name, label in (("because", "why"), ("suggestion", "fix"), ("docs", "docs")) if v[name] and v[name] != v["message"]]
-    errors = sum((v["severity"] or "error") == "error" for v in found)
-    return "\n".join([*lines, f"{len(found)} findings, {errors} errors"])
+    total, errors = _counts(found, counted)
+    shown = f", the first {len(found)} shown" if total > len(found) else ""
+    return "\n".join([*lines, f"{total} findings, {errors} errors{shown}"])
 
 
-def terminal(found: list[dict]) -> str:
-    text = plain(found)
+def terminal(found: list[dict], counted: tuple[int, int] | None = None) -> str:
+    text = plain(found, counted)
     return text.replace("error  ", "\x1b[31merror\x1b[0m  ").replace("warn  ", "\x1b[33mwarn\x1b[0m  ")
 
 
-def as_json(found: list[dict], reason: str | None = None) -> str:
-    errors = sum((v["severity"] or "error") == "error" for v in found)
-    return json.dumps({"summary": {"total": len(found), "errors": errors, "warnings": len(found) - errors, "reason": reason}, "violations": found}, sort_keys=True)
+def as_json(found: list[dict], counted: tuple[int, int] | None = None, reason: str | None = None) -> str:
+    total, errors = _counts(found, counted)
+    return json.dumps({"summary": {"total": total, "errors": errors, "warnings": total - errors, "reason": reason}, "violations": found}, sort_keys=True)
 
 
 def escape(text: str, attribute: bool = False) -> str:
@@ -40,7 +57,7 @@ def escape(text: str, attribute: bool = False) -> str:
     return text
 
 
-def annotations(found: list[dict]) -> str:
+def annotations(found: list[dict], counted: tuple[int, int] | None = None) -> str:
     """Workflow commands, one a finding."""
     out = []
     for v in found:
@@ -56,7 +73,17 @@ def detect_format() -> str:
 
 
 def report(findings: DataFrame, fmt: str | None = None) -> str:
-    return {"terminal": terminal, "plain": plain, "json": as_json, "annotations": annotations}[fmt or detect_format()](rows(findings))
+    return render(findings, fmt)[0]
+
+
+def render(findings: DataFrame, fmt: str | None = None) -> tuple[str, int]:
+    """The report and the number of errors; totals are of all findings, of which the first are shown."""
+    kept = findings.persist()
+    try:
+        counted = totals(kept)
+        return {"terminal": terminal, "plain": plain, "json": as_json, "annotations": annotations}[fmt or detect_format()](rows(kept), counted), counted[1]
+    finally:
+        kept.unpersist()
 
 
 def write_table(findings: DataFrame, path: str) -> None:
