@@ -31,4 +31,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from . import operator_queries, queries  # noqa: E402, F401  (they register all queries)
+from . import operator_queries, queries, source_queries  # noqa: E402, F401  (they register all queries)
