@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -319,6 +320,49 @@ def test_language_segments_see_the_same_as_one_pass(monkeypatch):
             assert e == s or np.abs(got[s:e] - one_pass(buf[s:e])).max() < 1e-5
 
 
+def random_network(seed, languages):
+    rng = np.random.default_rng(seed)
+    draw = lambda *shape: (rng.standard_normal(shape) * 0.5).astype(np.float32)
+    return langid.Network(languages, [draw(256, 24) for _ in range(2)], [draw(8, 24) for _ in range(2)], [draw(8, len(languages)) for _ in range(2)], draw(len(languages)))
+
+
+@pytest.mark.parametrize("lanes", [4096, 5])
+def test_language_means_equal_those_of_one_pass(monkeypatch, lanes):
+    net, rng = random_network(1, ["a", "b", "c"]), random.Random(8)
+    texts = ["".join(rng.choice("abc dé") for _ in range(n)) for n in (700, 0, 1, 7, 8, 9, 511, 2000, 30, 9000)] + [None, "z"]
+    monkeypatch.setattr(langid, "LANES", lanes)
+    column = pa.array(["dropped", *texts], pa.string())[1:]
+    for text, got in zip(texts, langid.pooled(net, column)):
+        raw = np.frombuffer((text or "").encode(), np.uint8)
+        ahead, _ = langid._states(raw[None, :], net.inputs[0], net.recurrence[0])
+        behind, _ = langid._states(raw[None, ::-1], net.inputs[1], net.recurrence[1])
+        logits = sum((np.stack(h[1:])[::w, 0] @ o for h, o, w in ((ahead, net.output[0], 1), (behind, net.output[1], -1))), net.bias) if len(raw) else np.zeros((0, 3))
+        p = np.exp(logits) / np.exp(logits).sum(1, keepdims=True)
+        assert np.abs(got - (p.mean(0) if len(raw) else 0)).max() < 1e-5
+
+
+def test_labelling_costs_less_than_the_plain_recurrence():
+    net, rng = random_network(2, ["a", "b", "c", "d"]), np.random.default_rng(3)
+    raw = rng.integers(97, 123, (4096, 256)).astype(np.uint8)
+    column = pa.array([bytes(r).decode() for r in raw], pa.string())
+
+    def seconds(f):
+        took = []
+        for _ in range(4):
+            began = time.thread_time()
+            f()
+            took.append(time.thread_time() - began)
+        return min(took)
+
+    def plain():
+        for side in range(2):
+            h = np.zeros((len(raw), 8), np.float32)
+            for t in range(raw.shape[1]):
+                h, _ = langid._cell(net.inputs[side][raw[:, t]], h, net.recurrence[side])
+
+    assert seconds(lambda: langid.pooled(net, column)) < seconds(plain)
+
+
 def test_language_of_documents_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) > 0 AND lang IS NOT NULL")
     seen = F.xxhash64("text") % 2 == 0

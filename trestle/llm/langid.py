@@ -35,6 +35,8 @@ from .common import ship, spread_sample, text_bytes
 TRAINING_ROWS = 1500
 HIDDEN, WINDOW, BATCH, STEPS, RATE = 8, 64, 256, 240, 0.02
 SEGMENT, LANES = 512, 4096
+#: places whose probabilities are computed at once
+TOGETHER = 8
 #: states closer than this are the same
 TOLERANCE = 1e-6
 
@@ -154,83 +156,101 @@ def train(texts: list[bytes], labels: list[str], steps: int = STEPS, hidden: int
     return net
 
 
-def _step(g: np.ndarray, h: np.ndarray, u: np.ndarray) -> np.ndarray:
-    """:func:`_cell` without what training needs."""
-    k = h.shape[1]
-    s = h @ u
-    rz = g[:, : 2 * k] + s[:, : 2 * k]
-    rz /= np.abs(rz) + 1
+def _tables(net: Network, side: int) -> tuple[np.ndarray, np.ndarray]:
+    """Inputs ``[gate, byte, unit]`` and recurrence ``[gate, unit, unit]`` of one direction: each gate of many lanes is contiguous."""
+    e, u = net.inputs[side], net.recurrence[side]
+    k = u.shape[0]
+    return np.ascontiguousarray(e.reshape(256, 3, k).transpose(1, 0, 2)), np.ascontiguousarray(u.reshape(k, 3, k).transpose(1, 0, 2))
+
+
+def _step(e: np.ndarray, u: np.ndarray, byte: np.ndarray, h: np.ndarray, g: np.ndarray, s: np.ndarray, out: np.ndarray) -> None:
+    """:func:`_cell` without what training needs; ``g`` and ``s`` ``[gate, lane, unit]`` are room to work in."""
+    np.take(e, byte, axis=1, out=g, mode="clip")
+    np.matmul(h, u, out=s)
+    rz, n, room = s[:2], s[2], g[2]
+    rz += g[:2]
+    np.abs(rz, out=g[:2])
+    g[:2] += 1
+    rz /= g[:2]
     rz *= 0.5
     rz += 0.5
-    n = s[:, 2 * k :] * rz[:, :k]
-    n += g[:, 2 * k :]
-    n /= np.abs(n) + 1
-    h = h - n
-    h *= rz[:, k:]
-    h += n
-    return h
+    n *= rz[0]
+    n += room
+    np.abs(n, out=room)
+    room += 1
+    n /= room
+    np.subtract(h, n, out=room)
+    room *= rz[1]
+    np.add(room, n, out=out)
 
 
-def _read(net: Network, side: int, buf: np.ndarray, begin: np.ndarray, length: np.ndarray, before: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """States ``[step, lane, unit]`` of one direction, and those in which lanes end; lanes are sorted by falling length.
+def _read(net: Network, side: int, buf: np.ndarray, own: np.ndarray, size: np.ndarray, before: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """States ``[place in the lane, lane, unit]`` of one direction, and those in which lanes end; lanes are sorted by falling size.
 
     A lane is entered in the state in which lane ``before`` of it ends, or in its own
-    of ``first`` where that is negative.
+    of ``first`` where that is negative. Places behind the end of a lane have no meaning.
     """
-    e, u = net.inputs[side], net.recurrence[side]
-    way, steps = 1 - 2 * side, int(length[0])
-    states = np.zeros((steps, len(begin), u.shape[0]), np.float32)
-    alive = np.searchsorted(-length, -np.arange(steps), side="left")
+    e, u = _tables(net, side)
+    steps, k = int(size[0]), u.shape[1]
+    states = np.zeros((steps, len(own), k), np.float32)
+    alive = np.searchsorted(-size, -np.arange(steps), side="left").tolist()
     entry = np.where(before[:, None] < 0, first, np.float32(0))
-    last = entry.copy()
-    for t in range(steps):
-        n = int(alive[t])
-        states[t, :n] = last[:n] = _step(e[buf[begin[:n] + way * t]], last[:n], u)
+    room = np.empty((2, 3 * len(own) * k), np.float32)
+    h, n = entry, -1
+    for t in range(steps - 1, -1, -1) if side else range(steps):
+        if alive[t] != n:
+            if side and n >= 0:
+                h[n : alive[t]] = entry[n : alive[t]]
+            n = alive[t]
+            g, s = room[:, : 3 * n * k].reshape(2, 3, n, k)
+        _step(e, u, buf[own[:n] + t], h[:n], g, s, states[t, :n])
+        h = states[t]
+    last = states[0].copy() if side else states[size - 1, np.arange(len(own))]
     while True:
         true = np.where(before[:, None] < 0, first, last[before])
         lane = np.flatnonzero(np.abs(true - entry).max(axis=1) > TOLERANCE)
         if not len(lane):
             return states, last
         entry[lane] = h = true[lane]
-        at, left = begin[lane], length[lane]
+        at, left = (size[lane] - 1 if side else np.zeros_like(lane)), size[lane]
         t = 0
         while len(lane):
-            h = _step(e[buf[at + way * t]], h, u)
+            g, s = room[:, : 3 * len(lane) * k].reshape(2, 3, len(lane), k)
+            now = np.empty_like(h)
+            _step(e, u, buf[own[lane] + at], h, g, s, now)
+            h = now
             t += 1
             over = left == t
             if t % 8 == 0 or over.any():
                 last[lane[over]] = h[over]
-                over |= np.abs(h - states[t - 1, lane]).max(axis=1) <= TOLERANCE
-                states[t - 1, lane] = h
+                over |= np.abs(h - states[at, lane]).max(axis=1) <= TOLERANCE
+                states[at, lane] = h
                 if over.any():
                     lane, at, left, h = lane[~over], at[~over], left[~over], h[~over]
             else:
-                states[t - 1, lane] = h
+                states[at, lane] = h
+            at += 1 - 2 * side
 
 
-def _lanes(net: Network, buf: np.ndarray, own: np.ndarray, until: np.ndarray, doc: np.ndarray, enter: tuple[np.ndarray, np.ndarray]):
-    """States at every position of consecutive segments of texts, position after position, and the states in which both readers leave.
+def _lanes(net: Network, side: int, buf: np.ndarray, own: np.ndarray, size: np.ndarray, doc: np.ndarray, enter: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Consecutive segments of texts by falling size, one direction's states in that order, and those in which it leaves each segment.
 
-    ``enter`` has, for each direction, the state in which the first (or the last)
-    segment of a text is entered.
+    ``enter`` has the state in which the first (or the last) segment of a text is entered.
     """
-    size = until - own
     order = np.argsort(-size, kind="stable")
-    place = np.empty_like(order)
-    place[order] = np.arange(len(order))
+    place = np.argsort(order)
     inside = doc[1:] == doc[:-1]
-    ahead, behind = np.full(len(doc), -1), np.full(len(doc), -1)
-    ahead[1:][inside] = place[:-1][inside]
-    behind[:-1][inside] = place[1:][inside]
-    a, end_a = _read(net, 0, buf, own[order], size[order], ahead[order], enter[0][order])
-    b, end_b = _read(net, 1, buf, until[order] - 1, size[order], behind[order], enter[1][order])
-    lane = np.repeat(place, size)
-    nth = np.arange(len(lane)) - np.repeat(np.cumsum(size) - size, size)
-    return a[nth, lane], b[np.repeat(size, size) - 1 - nth, lane], end_a[place], end_b[place]
+    before = np.full(len(doc), -1)
+    if side:
+        before[:-1][inside] = place[1:][inside]
+    else:
+        before[1:][inside] = place[:-1][inside]
+    states, last = _read(net, side, buf, own[order], size[order], before[order], enter[order])
+    return order, states, last[place]
 
 
-def positions(net: Network, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Text, place in the buffer and language probabilities of every byte, many segments at a time.
+def _segments(net: Network, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """Text, start and size of segments, many at a time and by falling size, with the states of both directions.
 
     A text of more than ``LANES`` segments is read in blocks: first backwards alone,
     which gives the state in which each block is entered from its end.
@@ -245,45 +265,62 @@ def positions(net: Network, buf: np.ndarray, starts: np.ndarray, ends: np.ndarra
         doc = np.repeat(group, pieces[group])
         nth = np.arange(len(doc)) - np.repeat(np.cumsum(pieces[group]) - pieces[group], pieces[group])
         own = starts[doc] + nth * SEGMENT
-        until = np.minimum(own + SEGMENT, ends[doc])
+        size = np.minimum(own + SEGMENT, ends[doc]) - own
         blocks = [slice(k, k + LANES) for k in range(0, len(doc), LANES)]
         zero = np.zeros((len(doc), hidden), np.float32)
         entered = [zero[:1]] * len(blocks)
         for k in range(len(blocks) - 1, 0, -1):
             s = blocks[k]
-            back = np.arange(len(doc[s]))[::-1]
-            size = (until - own)[s][back]
-            order = np.argsort(-size, kind="stable")  # the short last segment is read first, and stands last
-            place = np.argsort(order)
-            before = np.concatenate([[-1], place[:-1]])[order]
-            first = np.repeat(entered[k], len(back), axis=0)
-            _, last = _read(net, 1, buf, (until - 1)[s][back][order], size[order], before, first)
-            entered[k - 1] = last[place[-1:]]
+            final = np.zeros_like(zero[s])
+            final[-1] = entered[k]
+            entered[k - 1] = _lanes(net, 1, buf, own[s], size[s], doc[s], final)[2][:1]
         carried = zero[:1]
         for k, s in enumerate(blocks):
             first, final = np.zeros_like(zero[s]), np.zeros_like(zero[s])
             first[0], final[-1] = carried, entered[k]
-            a, b, end_a, _ = _lanes(net, buf, own[s], until[s], doc[s], (first, final))
-            carried = end_a[-1:]
-            which = np.repeat(np.arange(len(doc[s])), (until - own)[s])
-            spot = np.arange(len(which)) - np.repeat(np.cumsum((until - own)[s]) - (until - own)[s], (until - own)[s]) + own[s][which]
-            logits = a @ net.output[0]
-            logits += b @ net.output[1]
-            logits += net.bias
-            logits -= logits.max(axis=1, keepdims=True)
-            np.exp(logits, out=logits)
-            logits /= logits.sum(axis=1, keepdims=True)
-            yield doc[s][which], spot, logits
+            order, ahead, left = _lanes(net, 0, buf, own[s], size[s], doc[s], first)
+            _, behind, _ = _lanes(net, 1, buf, own[s], size[s], doc[s], final)
+            carried = left[-1:]
+            yield doc[s][order], own[s][order], size[s][order], ahead, behind
         i = j
 
 
+def _probabilities(net: Network, size: np.ndarray, ahead: np.ndarray, behind: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """A first place, the languages' probabilities ``[place, language, lane]`` of some places from there, 0 behind the end of a lane, and which places lanes have."""
+    out = [np.ascontiguousarray(o.T) for o in net.output]
+    for t in range(0, len(ahead), TOGETHER):
+        place = np.arange(t, min(t + TOGETHER, len(ahead)))
+        n = int(np.searchsorted(-size, -t, side="left"))
+        p = np.matmul(out[0], ahead[place[0] : place[-1] + 1, :n].transpose(0, 2, 1))
+        p += np.matmul(out[1], behind[place[0] : place[-1] + 1, :n].transpose(0, 2, 1))
+        p += net.bias[:, None]
+        p -= p.max(axis=1, keepdims=True)
+        np.exp(p, out=p)
+        p /= p.sum(axis=1, keepdims=True)
+        there = place[:, None] < size[:n]
+        if size[n - 1] <= place[-1]:
+            p *= there[:, None]
+        yield t, p, there
+
+
+def positions(net: Network, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Text, place in the buffer and language probabilities of every byte, many at a time."""
+    for doc, own, size, ahead, behind in _segments(net, buf, starts, ends):
+        for t, p, there in _probabilities(net, size, ahead, behind):
+            place, lane = np.nonzero(there)
+            yield doc[lane], own[lane] + t + place, p[place, :, lane]
+
+
 def pooled(net: Network, column: pa.Array) -> np.ndarray:
     """Mean probabilities of each text; zeros for a text without bytes."""
     buf, starts, ends = text_bytes(column)
     total = np.zeros((len(column), len(net.languages)))
-    for doc, _, p in positions(net, buf, starts, ends):
-        for c in range(p.shape[1]):
-            total[:, c] += np.bincount(doc, weights=p[:, c], minlength=len(total))
+    for doc, _, size, ahead, behind in _segments(net, buf, starts, ends):
+        of_lane = np.zeros((len(net.languages), len(doc)))
+        for _, p, _ in _probabilities(net, size, ahead, behind):
+            of_lane[:, : p.shape[2]] += p.sum(axis=0)
+        for c in range(len(of_lane)):
+            total[:, c] += np.bincount(doc, weights=of_lane[c], minlength=len(total))
     return total / np.maximum(ends - starts, 1)[:, None]
 
 
