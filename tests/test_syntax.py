@@ -1,7 +1,10 @@
 """Facts from source text, and projects of folders."""
 
+from pyspark.sql import functions as F
+
 from trestle.functions import predicates as p
 from trestle.operators import edges
+from trestle.plans import source_queries
 from trestle.plans.project import project, reset_project_cache, workspace
 from trestle.plans.rule import rule
 from trestle.sources import syntax
@@ -81,3 +84,18 @@ def test_project_from_text_to_findings(spark, tmp_path):
     assert [(r["file"].rsplit("/", 1)[1], r["line"]) for r in found] == [("a.ts", 1)]
     reset_project_cache()
     assert project(spark, str(tmp_path / "one")) is not one
+
+
+def test_sources_are_dealt_out_before_they_are_parsed(spark, tmp_path):
+    """A table of few bytes is one split: a single task parsed all texts."""
+    parts = spark.range(500).selectExpr("id AS p_partkey", "CAST(id % 50 AS INT) AS p_size")
+    parts.coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    sources = source_queries._sources(spark, str(tmp_path))
+    sizes = [r["count"] for r in sources.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) >= 4 * spark.sparkContext.defaultParallelism and max(sizes) < 100 and sum(sizes) == 500
+
+
+def test_skipped_text_and_its_end():
+    assert Source("").tok == Source(" // a\n /* b */ /* c").tok == []
+    assert Source("a /* x */ // y\n / b / `c ${d}` /re/g").tok == ["a", "/", "b", "/", "`c ${d}`", "/", "re", "/", "g"]
+    assert Source("x = /a(b)/g /* end").tok == ["x", "=", "/a(b)/g"]

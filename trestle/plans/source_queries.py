@@ -8,13 +8,17 @@ from pyspark.sql import functions as F
 from ..functions import predicates as p
 from ..operators import conditions as c
 from ..sources import facts, syntax
-from .catalogue import query, table
+from .catalogue import dealt, query, table
 from .project import Project
 
 
 def _sources(spark, d) -> DataFrame:
-    """A file for each part: an import, a function with a branch for the larger ones, an arrow function, a class, a literal with a handler, an interface, and calls."""
-    part = table(spark, d, "part")
+    """A file for each part: an import, a function with a branch for the larger ones, an arrow function, a class, a literal with a handler, an interface, and calls.
+
+    Parts are a few bytes each and their texts take long to parse, so the rows are dealt out
+    before they are written: their file alone would make a single task of a million texts.
+    """
+    part = dealt(table(spark, d, "part").select("p_partkey", "p_size"))
     key = F.col("p_partkey").cast("string")
     text = F.concat(
         F.lit("import { a } from './"), key, F.lit("'\n// call(nothing)\nexport function make"), key, F.lit("(id: string, n = 1) {\n"),
