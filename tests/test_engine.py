@@ -323,3 +323,26 @@ def test_exclusions_of_an_element_of_one_digit(spark, tmp_path):
     spark.createDataFrame([(k, "1-URGENT") for k in (7, 17, 71, 100)], "o_orderkey long, o_orderpriority string").write.parquet(str(tmp_path / "orders.parquet"))
     spark.createDataFrame([(k,) for k in (7, 17, 71, 100) for _ in range(6)], "l_orderkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
     assert names(queries.exclusions(spark, str(tmp_path)), "element") == ["71"]
+
+
+def test_duplicate_bodies_write_each_text_once(spark, tmp_path):
+    """Copies hang on their representative (they were expanded into all pairs), and no link between different texts is lost."""
+    import itertools
+    import random
+
+    rng = random.Random(2)
+    base = [[f"w{rng.randrange(40)}" for _ in range(rng.randrange(1, 60))] for _ in range(20)]
+    texts = base + [[w for w in b if rng.random() > 0.08] for b in base] + [base[3]] * 30 + [[]]
+    spark.createDataFrame([(i, "  ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r["a"], r["b"]): r["similarity"] for r in queries.duplicate_bodies(spark, str(tmp_path)).collect()}
+    first = {i: texts.index(t) for i, t in enumerate(texts) if t}
+    alike = {(i, j): s for i, j in itertools.combinations(sorted(set(first.values())), 2) if (s := detectors.similarity(texts[i], texts[j])) >= 0.85}
+    assert got == alike | {(r, i): 1.0 for i, r in first.items() if r != i} and len(alike) > 5
+    assert got[3, 69] == 1.0 and (40, 41) not in got
+
+
+def test_false_candidates_are_few(spark):
+    """One rare word in common made a candidate, whose bodies were then shuffled."""
+    rows = [(i, [1_000 + i // 2] + [(i * 7 + j * j) % 997 for j in range(80)]) for i in range(40)]
+    df = spark.createDataFrame(rows, "fn_id int, kinds array<int>")
+    assert detectors.candidate_pairs(df, 0.85).count() == 0 == detectors.similar_bodies(df, 0.85, words=None).count()
